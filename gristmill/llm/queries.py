@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import near_duplicates, repetition
+from gristmill.llm import abuse, main_body, near_duplicates, personal, prose, repetition
 from gristmill.sources.tables import table
 
 
@@ -17,6 +17,47 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf, "gen1_output"), n=5, threshold=0.8)
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "gen1_output").where("text IS NOT NULL AND text <> ''")
+    return prose.text_statistics(docs).where("verdict IN ('list', 'junk')").select("rec_id").distinct()
+
+
+def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics and verdict of every row."""
+    return prose.text_statistics(table(spark, sf, "gen1_output"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return main_body.furniture(table(spark, sf, "gen1_output")).distinct()
+
+
+def p4_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row with only its main body."""
+    return main_body.main_text(table(spark, sf, "gen1_output"))
+
+
+def _p5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "gen1_output")
+    return abuse.abuse_scores(docs, abuse.fit_table(table(spark, sf, "tox_labels"), docs))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p5(spark, sf).where("is_abusive").select("rec_id").distinct()
+
+
+def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The score of every row."""
+    return _p5(spark, sf).select("rec_id", F.round("score", 4).alias("score"))
+
+
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and share of abusive rows by source, sources trimmed and in lower case."""
+    source = F.coalesce(F.lower(F.trim("source")), F.lit("unknown"))
+    return _p5(spark, sf).groupBy(source.alias("source")).agg(
+        F.count("*").alias("n_docs"), F.sum(F.col("is_abusive").cast("long")).alias("n_abusive"), F.round(F.avg(F.col("is_abusive").cast("double")), 6).alias("rate")
+    )
+
+
 def _p6(spark: SparkSession, sf: str) -> DataFrame:
     gen1 = table(spark, sf, "gen1_output").select(F.lit("gen1_output").alias("table_name"), F.col("rec_id").alias("row_id"), "text")
     audit = table(spark, sf, "repetition_filter_audit").select(F.lit("repetition_filter_audit").alias("table_name"), F.col("audit_id").alias("row_id"), F.col("text_preview").alias("text"))
@@ -33,5 +74,18 @@ def p6_share(spark: SparkSession, sf: str) -> DataFrame:
     return _p6(spark, sf).select("table_name", "row_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.personal_types(table(spark, sf, "gen1_output")).distinct()
+
+
+def p7_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with placeholders for personal information."""
+    return personal.masked_texts(table(spark, sf, "gen1_output"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
