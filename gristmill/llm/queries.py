@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import abuse, main_body, near_duplicates, personal, prose, repetition
+from gristmill.llm import abuse, leaks, main_body, near_duplicates, packing, personal, prose, repetition, stuffing, tokens
 from gristmill.sources.tables import table
 
 
@@ -27,6 +27,17 @@ def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return prose.text_statistics(table(spark, sf, "gen1_output"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "gen1_output")
+    return tokens.implausible_runs(docs, table(spark, sf, "gen1_stage_metrics"), tokens.fit(docs)).select("run_id").distinct()
+
+
+def p3_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimated tokens by source, language and domain."""
+    docs = table(spark, sf, "gen1_output")
+    return tokens.token_budget(docs, tokens.fit(docs))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return main_body.furniture(table(spark, sf, "gen1_output")).distinct()
 
@@ -83,6 +94,63 @@ def p7_masked(spark: SparkSession, sf: str) -> DataFrame:
     return personal.masked_texts(table(spark, sf, "gen1_output"))
 
 
+def _p8(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(packing.sizes(table(spark, sf, "documents")), table(spark, sf, "pack_specs"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that the packing had to split over containers of the long window."""
+    long = table(spark, sf, "pack_specs").where("spec_name = 'long_window'").select("spec_id", "capacity_tokens")
+    return _p8(spark, sf).where("n_parts > 1").join(F.broadcast(long), "spec_id").where("n_tokens > capacity_tokens").select("doc_id").distinct()
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The containers of every document, for each spec."""
+    return _p8(spark, sf)
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and the share of their room that is used, by spec."""
+    specs = table(spark, sf, "pack_specs").select("spec_id", "spec_name", "capacity_tokens", "separator_tokens")
+    used = _p8(spark, sf).groupBy("spec_id", "container_id").agg(F.sum("part_tokens").alias("t"), F.count("*").alias("n"))
+    return used.join(F.broadcast(specs), "spec_id").groupBy("spec_id", "spec_name").agg(
+        F.count("*").alias("n_containers"), F.round(F.sum(F.col("t") + F.col("n") * F.col("separator_tokens")) / F.sum("capacity_tokens"), 4).alias("fill")
+    )
+
+
+def _p9(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p9(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p9_leaks_by_suite(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaked items and affected documents of each suite."""
+    suites = table(spark, sf, "eval_items").select("item_id", "suite")
+    return _p9(spark, sf).join(suites, "item_id").groupBy("suite").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_docs"), F.max("verbatim_words").alias("longest"))
+
+
+def p9_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the documents that hold no passage of a test item."""
+    return table(spark, sf, "documents").select("doc_id").join(_p9(spark, sf).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def _p10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return stuffing.stuffed_pages(docs, stuffing.prose_model(docs))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p10(spark, sf).where("is_stuffed").select("doc_id").distinct()
+
+
+def p10_perplexity(spark: SparkSession, sf: str) -> DataFrame:
+    """Perplexity and share of stuffed words of every document."""
+    return _p10(spark, sf).select("doc_id", F.round("log_perplexity", 4).alias("log_perplexity"), F.round("stuffed_share", 4).alias("stuffed_share"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
