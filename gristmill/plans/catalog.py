@@ -1,10 +1,12 @@
-"""All core queries and their SQL."""
+"""All core queries and their SQL: one entry for each operator, over whole tables."""
 from __future__ import annotations
 
+from gristmill.plans import curation, evaluation, rules
+
 
 def queries() -> dict:
-    return {}
+    return {**rules.QUERIES, **curation.QUERIES, **evaluation.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**rules.SQL, **curation.SQL, **evaluation.SQL}
