@@ -304,8 +304,8 @@ def fit_table(labels: DataFrame, docs: DataFrame, limit: int = MAX_LABELLED, bac
     """
     rows = labels.where("text IS NOT NULL AND label IN ('none', 'abusive', 'hateful', 'sexual')").orderBy("label_id").limit(limit).select("text", "label").collect()
     weak = docs.where("text IS NOT NULL AND text <> '' AND _toxicity_score < 0.1 AND length(text) < 20000")
-    calm = weak.select("rec_id", "text", F.xxhash64("rec_id").alias("h")).orderBy("h").limit(background).select("text").collect()
-    return fit([(r["text"], r["label"] != "none") for r in rows], [r["text"] for r in calm])
+    calm = lex.sampled_texts(weak, "rec_id", "text", background)
+    return fit([(r["text"], r["label"] != "none") for r in rows], calm)
 
 
 def _score(model: Model):

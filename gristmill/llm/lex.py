@@ -76,3 +76,17 @@ def batches(pdfs: Iterator, rows: int = 500) -> Iterator:
     for pdf in pdfs:
         for i in range(0, len(pdf), rows):
             yield pdf.iloc[i : i + rows]
+
+
+def sampled_texts(df, id_col: str, text_col: str, limit: int) -> list[str]:
+    """At most ``limit`` texts of ``df``, those of the least hashes of their ids.
+
+    The hashes are picked first and only then the texts that belong to them, so that a
+    task never sends more than its share of the texts to the driver.
+    """
+    from pyspark.sql import functions as F
+
+    hashed = df.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    top = hashed.select("h").orderBy("h").limit(limit)
+    rows = hashed.join(F.broadcast(top.distinct()), "h", "left_semi").collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: (r["h"], r["text"]))][:limit]
