@@ -75,14 +75,14 @@ def normalized(c: Column) -> Column:
 
 def top_bigram_ratio(c: Column) -> Column:
     """Share of the most frequent pair of neighbouring ideographs, other characters left out."""
-    z = F.regexp_replace(T.text_of(c), f"[^{CJK}]", "")
-    n = F.length(z) - 1
-    pairs = F.when(n > 0, F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(z, i, F.lit(2)))))
+    chars = F.regexp_extract_all(T.text_of(c), F.lit(f"([{CJK}])"), F.lit(1))
+    n = F.size(chars) - 1
+    pairs = F.array_sort(F.filter(F.zip_with(chars, F.slice(chars, 2, F.greatest(n, F.lit(0))), lambda x, y: F.concat(x, y)), lambda g: g.isNotNull()))
     runs = F.aggregate(
         pairs, F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
         lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["best"], F.when(x == a["last"], a["run"] + 1).otherwise(1)).alias("best")),
     )
-    return F.coalesce(runs["best"] / n, F.lit(0.0))
+    return F.when(n > 0, runs["best"] / n).otherwise(0.0)
 
 
 def quality(c: Column) -> Column:

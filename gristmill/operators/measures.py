@@ -13,9 +13,15 @@ def hash_order(seed: int, *ids: str) -> Column:
 
 
 def word_ngrams(text: Column, n: int) -> Column:
-    """Runs of n lower-case words; none of a text that is too short."""
+    """Runs of n lower-case words; none of a text that is too short.
+
+    Made of n shifted copies of the words: a lambda over places would split the text anew for each of them.
+    """
     w = T.words(F.lower(text))
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    out = w
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.filter(out, lambda g: g.isNotNull())
 
 
 def ngram_counts(df: DataFrame, sizes: tuple[int, ...], text_col: str = "text") -> DataFrame:

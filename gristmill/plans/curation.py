@@ -1,2 +1,348 @@
+"""Queries of deduplication, cascades, cuts, routes and corpus statistics."""
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from gristmill.functions import text as T
+from gristmill.functions import urls as U
+from gristmill.operators import cascade, chinese, dedup, measures, minhash, ngrams, pii, quality
+from gristmill.plans import rules
+from gristmill.plans import sqlparts as S
+from gristmill.plans.rules import docs, r6
+from gristmill.sources.tables import spread, table
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+_NORM_TEXT = f"array_to_string({S.words('lower(coalesce(text, ' + chr(39) * 2 + '))')}, ' ')"
+
+
+@query(f"WITH {rules.NORMALIZED}, k AS (SELECT rec_id, CASE WHEN normalized = '' THEN 't' || {_NORM_TEXT} ELSE 'u' || normalized END AS k FROM norm) SELECT min(rec_id) AS rec_id, count(*)::BIGINT AS n FROM k GROUP BY k")
+def url_dedup(spark, sf):
+    g = table(spark, sf, "gen1_output").select("rec_id", "url", "text")
+    return dedup.representatives(g, dedup.url_key(F.col("url"), F.col("text")), "rec_id").select("rec_id", "n")
+
+
+@query(f"WITH k AS (SELECT rec_id, coalesce(nullif(url, ''), {_NORM_TEXT}) AS k FROM gen1_output) SELECT min(rec_id) AS rec_id, count(*)::BIGINT AS n FROM k GROUP BY k")
+def url_dedup_raw(spark, sf):
+    g = table(spark, sf, "gen1_output").select("rec_id", "url", "text")
+    key = F.md5(F.coalesce(F.nullif("url", F.lit("")), T.fingerprint_text(F.col("text"))))
+    return dedup.representatives(g, key, "rec_id").select("rec_id", "n")
+
+
+@query(f"WITH k AS (SELECT doc_id, lang, {_NORM_TEXT} AS k FROM documents), r AS (SELECT min(doc_id) AS doc_id FROM k GROUP BY k) SELECT doc_id, lang FROM k SEMI JOIN r USING (doc_id)")
+def exact_dedup_first(spark, sf):
+    return dedup.keep_one(table(spark, sf, "documents").select("doc_id", "text", "lang"), dedup.content_key(F.col("text")), "doc_id").select("doc_id", "lang")
+
+
+@query(f"WITH k AS (SELECT doc_id, lang, {_NORM_TEXT} AS k FROM documents), r AS (SELECT max(doc_id) AS doc_id FROM k GROUP BY k) SELECT doc_id, lang FROM k SEMI JOIN r USING (doc_id)")
+def exact_dedup_last(spark, sf):
+    return dedup.keep_one(table(spark, sf, "documents").select("doc_id", "text", "lang"), dedup.content_key(F.col("text")), "doc_id", "last").select("doc_id", "lang")
+
+
+@query(f"WITH g AS (SELECT {_NORM_TEXT} AS k, count(*) AS n FROM documents GROUP BY 1) SELECT sum(n)::BIGINT AS total, count(*)::BIGINT AS groups, (count(*) FILTER (n > 1))::BIGINT AS dup_groups, round(1 - count(*) / sum(n)::DOUBLE, 6) AS dup_rate FROM g")
+def duplicate_statistics(spark, sf):
+    g = dedup.representatives(table(spark, sf, "documents").select("doc_id", "text"), dedup.content_key(F.col("text")), "doc_id")
+    return g.agg(F.sum("n").alias("total"), F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("dup_groups"), r6(1 - F.count("*") / F.sum("n"), "dup_rate"))
+
+
+@query(f"WITH g AS (SELECT {_NORM_TEXT} AS k, count(*) AS n, min(doc_id) AS doc_id FROM documents GROUP BY 1), top AS (SELECT * FROM g WHERE n > 1 ORDER BY n DESC, doc_id LIMIT 5) SELECT doc_id, n::BIGINT AS n, left(d.text, 100) AS sample FROM top JOIN documents d USING (doc_id)")
+def most_duplicated(spark, sf):
+    """The five contents with the most copies."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    top = dedup.representatives(d, dedup.content_key(F.col("text")), "doc_id").where("n > 1").orderBy(F.desc("n"), "doc_id").limit(5)
+    return d.join(F.broadcast(top), "doc_id").select("doc_id", "n", F.left("text", F.lit(100)).alias("sample"))
+
+
+@query(f"""WITH k AS (SELECT {_NORM_TEXT} AS k, nullif({S.domain('url')}, '') AS host, rec_id FROM gen1_output), g AS (SELECT min(rec_id) AS first_id, count(*) AS n, count(DISTINCT host) AS n_domains FROM k GROUP BY k HAVING count(*) > 1)
+ SELECT CASE WHEN n_domains = 1 THEN 'same_domain' ELSE 'cross_domain' END AS kind, count(*)::BIGINT AS groups, sum(n)::BIGINT AS n_rows FROM g GROUP BY 1""")
+def duplicate_sources(spark, sf):
+    g = table(spark, sf, "gen1_output").select("url", "text")
+    return dedup.duplicate_sources(g, dedup.content_key(F.col("text")), F.col("url")).groupBy("kind").agg(F.count("*").alias("groups"), F.sum("n").alias("n_rows"))
+
+
+@query(f"SELECT (count(*) - count(DISTINCT lower({S.strip(chr(39) * 0 + 'coalesce(text, ' + chr(39) * 2 + ')')})))::BIGINT AS n_duplicates FROM documents")
+def duplicates_by_stripped_text(spark, sf):
+    return table(spark, sf, "documents").select(F.md5(F.lower(T.strip(T.text_of(F.col("text"))))).alias("k")).agg((F.count("*") - F.countDistinct("k")).alias("n_duplicates"))
+
+
+_A, _B = minhash.coefficients(16)
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_NORM_TEXT} AS t FROM documents), s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(t) - 4) + 1), lambda i: substring(t, i, 5))) AS s FROM t),
+ h AS (SELECT doc_id, ('0x' || left(md5(x), 8))::BIGINT AS h FROM (SELECT doc_id, unnest(s) AS x FROM s)), c AS (SELECT unnest(range(0, 16)) AS i, unnest({_A}) AS a, unnest({_B}) AS b)
+ SELECT doc_id, i::BIGINT AS i, min((a * h + b) % {minhash.PRIME})::BIGINT AS v FROM h, c GROUP BY ALL""")
+def minhash_signatures(spark, sf):
+    """The first sixteen hashes of every document."""
+    sigs = minhash.signatures(table(spark, sf, "documents"), "doc_id", "text", 16)
+    return sigs.select(F.col("id").alias("doc_id"), F.posexplode("sig").alias("i", "v")).select("doc_id", F.col("i").cast("bigint").alias("i"), "v")
+
+
+@query()
+def minhash_links(spark, sf):
+    """Similar pairs of class representatives, eight bands of sixteen."""
+    member, reps = minhash.classes(minhash.checkpointed(minhash.signatures(table(spark, sf, "documents"), "doc_id", "text")))
+    return minhash.similar_pairs(reps)
+
+
+@query()
+def minhash_clusters(spark, sf):
+    """The cluster of every document."""
+    return minhash.clusters(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "cluster")
+
+
+@query()
+def two_stage_dedup(spark, sf):
+    """What is left after exact, then near duplicates are taken out; the first of each cluster stays."""
+    c = minhash.clusters(table(spark, sf, "documents"))
+    return c.groupBy("cluster").agg(F.min("id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
+
+
+_LANG = "coalesce(nullif(regexp_extract(lower(trim(lang)), '^([a-z]+)', 1), ''), 'unknown')"
+_CASCADE = rf"""{S.RULES}, {rules._REASONS},
+ cas AS (SELECT q.doc_id, q.source, q.segment, q.alpha_ratio, q.stop_words, q.n_words, {_LANG} AS lg, q.quality, rep.repetition, CASE WHEN {_LANG} <> 'en' THEN 'lang:' || {_LANG} WHEN q.quality IS NOT NULL THEN 'quality:' || q.quality WHEN rep.repetition IS NOT NULL THEN 'repetition:' || rep.repetition END AS reason FROM q JOIN rep USING (doc_id))"""
+
+
+def _cascade(spark, sf):
+    return cascade.annotated(docs(spark, sf, "text", "lang", "source", "segment"))
+
+
+@query(f"WITH {_CASCADE} SELECT doc_id, reason FROM cas")
+def gen1_cascade(spark, sf):
+    """The first rule that every document fails, in the order language, quality, repetition."""
+    return _cascade(spark, sf).select("doc_id", "reason")
+
+
+@query(f"WITH {_CASCADE} SELECT coalesce(split_part(reason, ':', 1), 'kept') AS step, coalesce(split_part(reason, ':', 2), 'kept') AS category, count(*)::BIGINT AS n FROM cas GROUP BY ALL")
+def gen1_cascade_counts(spark, sf):
+    part = lambda k: F.coalesce(F.split_part("reason", F.lit(":"), F.lit(k)), F.lit("kept"))
+    return _cascade(spark, sf).groupBy(part(1).alias("step"), part(2).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_CASCADE}, s AS (SELECT 1 AS k, 'lang' AS step, count(*) AS before, count(*) FILTER (reason LIKE 'lang:%') AS filtered FROM cas
+ UNION ALL SELECT 2, 'quality', count(*) FILTER (reason IS NULL OR reason NOT LIKE 'lang:%'), count(*) FILTER (reason LIKE 'quality:%') FROM cas
+ UNION ALL SELECT 3, 'repetition', count(*) FILTER (reason IS NULL OR reason LIKE 'repetition:%'), count(*) FILTER (reason LIKE 'repetition:%') FROM cas)
+ SELECT step, before::BIGINT AS before, (before - filtered)::BIGINT AS after, filtered::BIGINT AS filtered, round(CASE WHEN before > 0 THEN filtered / before::DOUBLE ELSE 0 END, 6) AS filter_rate FROM s""")
+def gen1_step_statistics(spark, sf):
+    return cascade.step_statistics(_cascade(spark, sf))
+
+
+def scored(spark, sf):
+    """Documents with the stand-in score."""
+    c = F.col("text")
+    rows = docs(spark, sf, "text", "lang", "source", "segment").withColumn("n_words", T.n_words(c)).withColumn("sw", T.stop_word_count(c))
+    return rows.withColumn("score", F.round(T.alpha_ratio(c) * 0.6 + F.least(F.lit(1.0), F.when(F.col("n_words") > 0, F.col("sw") * 2.5 / F.col("n_words")).otherwise(0.0)) * 0.4, 4))
+
+
+@query(f"WITH {S.SCORED}, c AS (SELECT quantile_cont(score, 0.9) AS threshold FROM s) SELECT doc_id, score, round(threshold, 6) AS threshold FROM s, c WHERE score >= threshold")
+def top_fraction_cut(spark, sf):
+    return measures.top_fraction(scored(spark, sf).select("doc_id", "score"), "score", 0.1).select("doc_id", "score", r6(F.col("threshold"), "threshold"))
+
+
+_SWEEP = f"""{S.SCORED}, th AS (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0])::DOUBLE AS fraction, unnest(quantile_cont(score, [0.95, 0.9, 0.85, 0.8, 0.7, 0.5, 0.25, 0.0])) AS threshold FROM s),
+ sweep AS (SELECT fraction, round(threshold, 6) AS threshold, count(*)::BIGINT AS n, sum(n_words)::BIGINT AS n_words, round(avg(score), 6) AS mean_score, round(quantile_cont(score, 0.9), 6) AS p90 FROM s, th WHERE score >= threshold GROUP BY fraction, threshold)"""
+
+
+def _sweep(spark, sf):
+    s = scored(spark, sf).select("score", "n_words")
+    fractions = [0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0]
+    cuts = s.agg(F.percentile("score", F.array(*[F.lit(1 - f) for f in fractions])).alias("t"))
+    cuts = cuts.select(F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in fractions]).alias("fraction"), F.col("t").alias("threshold"))).alias("x")).select("x.fraction", "x.threshold")
+    rows = s.join(F.broadcast(cuts), F.col("score") >= F.col("threshold"))  # eight rows
+    return rows.groupBy("fraction", "threshold").agg(F.count("*").alias("n"), F.sum("n_words").alias("n_words"), r6(F.avg("score"), "mean_score"), r6(F.percentile("score", F.lit(0.9)), "p90")).withColumn("threshold", F.round("threshold", 6))
+
+
+@query(f"WITH {_SWEEP} SELECT * FROM sweep")
+def threshold_sweep(spark, sf):
+    return _sweep(spark, sf)
+
+
+@query(f"WITH {_SWEEP} SELECT fraction, n, round(mean_score / n_words * 1000000, 6) AS per_million FROM sweep ORDER BY mean_score / n_words DESC, fraction LIMIT 1")
+def best_threshold(spark, sf):
+    """The fraction of the most quality a word, the smallest of equals."""
+    s = _sweep(spark, sf)
+    return s.orderBy(F.desc(F.col("mean_score") / F.col("n_words")), "fraction").limit(1).select("fraction", "n", r6(F.col("mean_score") / F.col("n_words") * 1_000_000, "per_million"))
+
+
+@query(f"""WITH {S.SCORED}, x AS (SELECT min(score) AS lo, max(score) AS hi FROM s), b AS (SELECT least(floor((score - lo) / ((hi - lo) / 50)), 49)::INT AS bin FROM s, x), c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+ SELECT r::INT AS bin, coalesce(n, 0)::BIGINT AS n FROM range(50) t(r) LEFT JOIN c ON bin = r""")
+def score_histogram(spark, sf):
+    return measures.histogram(scored(spark, sf).select("score"), "score", 50)
+
+
+_ROUTE = "CASE WHEN score >= 0.7 THEN 'high_quality' WHEN score >= 0.3 THEN 'medium_quality' WHEN score >= 0.1 THEN 'to_rephrase' ELSE 'discarded' END"
+
+
+@query(f"WITH {S.SCORED} SELECT doc_id, score, {_ROUTE} AS route FROM s")
+def routing(spark, sf):
+    return scored(spark, sf).select("doc_id", "score", measures.route(F.col("score")).alias("route"))
+
+
+@query(f"WITH {S.SCORED}, g AS (SELECT {_ROUTE} AS route, count(*) AS n FROM s GROUP BY 1) SELECT route, n::BIGINT AS n, round(n / sum(n) OVER (), 6) AS rate FROM g")
+def routing_summary(spark, sf):
+    g = scored(spark, sf).groupBy(measures.route(F.col("score")).alias("route")).agg(F.count("*").alias("n"))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("t")))).select("route", "n", r6(F.col("n") / F.col("t"), "rate"))  # four rows
+
+
+_ENSEMBLE = f"{S.SCORED}, e AS (SELECT doc_id, score AS a, round(least(1.0, n_words / 300.0), 4)::DOUBLE AS b, round(1 - score, 4) AS c FROM s)"
+
+
+def _ensemble(spark, sf):
+    return scored(spark, sf).select("doc_id", F.col("score").alias("a"), F.round(F.least(F.lit(1.0), F.col("n_words") / 300.0), 4).alias("b"), F.round(1 - F.col("score"), 4).alias("c"))
+
+
+@query(f"WITH {_ENSEMBLE} SELECT doc_id, greatest(a, b, c) AS union_score, least(a, b, c) AS intersection_score, round((0.4 * a + 0.4 * b + 0.2 * c) / 1.0, 4) AS weighted_score, greatest(a, b, c) >= 0.5 AS is_high FROM e")
+def ensemble_scores(spark, sf):
+    return _ensemble(spark, sf).select(
+        "doc_id", F.greatest("a", "b", "c").alias("union_score"), F.least("a", "b", "c").alias("intersection_score"), F.round((F.col("a") * 0.4 + F.col("b") * 0.4 + F.col("c") * 0.2) / 1.0, 4).alias("weighted_score"), (F.greatest("a", "b", "c") >= 0.5).alias("is_high"),
+    )
+
+
+@query(f"WITH {_ENSEMBLE}, x AS (SELECT count(*) FILTER (a >= 0.6) AS na, count(*) FILTER (b >= 0.6) AS nb, count(*) FILTER (c >= 0.6) AS nc, count(*) FILTER (greatest(a, b, c) >= 0.6) AS nu, count(*) AS n FROM e) SELECT na::BIGINT AS na, nb::BIGINT AS nb, nc::BIGINT AS nc, nu::BIGINT AS n_union, (nu - greatest(na, nb, nc))::BIGINT AS gain, round(nu / n::DOUBLE, 6) AS rate FROM x")
+def coverage_gain(spark, sf):
+    at = lambda *c: F.count_if((F.greatest(*c) if len(c) > 1 else F.col(c[0])) >= 0.6)
+    x = _ensemble(spark, sf).agg(at("a").alias("na"), at("b").alias("nb"), at("c").alias("nc"), at("a", "b", "c").alias("n_union"), F.count("*").alias("n"))
+    return x.select("na", "nb", "nc", "n_union", (F.col("n_union") - F.greatest("na", "nb", "nc")).alias("gain"), r6(F.col("n_union") / F.col("n"), "rate"))
+
+
+@query(f"WITH {_CASCADE}, k AS (SELECT doc_id, {S.SCORE} AS score FROM cas WHERE reason IS NULL), c AS (SELECT quantile_cont(score, 0.9) AS threshold FROM k) SELECT doc_id, score FROM k, c WHERE score >= threshold")
+def gen2_pipeline(spark, sf):
+    """Rule cascade, then the best tenth by score."""
+    kept = _cascade(spark, sf).where("reason IS NULL").select("doc_id")
+    return measures.top_fraction(scored(spark, sf).select("doc_id", "score").join(kept, "doc_id", "left_semi"), "score", 0.1).select("doc_id", "score")
+
+
+@query(f"WITH {_CASCADE}, k AS (SELECT doc_id, {S.SCORE} AS score FROM cas WHERE reason IS NULL) SELECT doc_id, score, {_ROUTE} AS route, score < 0.3 AS is_rewritten FROM k WHERE score >= 0.1")
+def gen3_pipeline(spark, sf):
+    """Rule cascade, routes, and the union of what is kept and what goes to the rewriter."""
+    kept = _cascade(spark, sf).where("reason IS NULL").select("doc_id")
+    s = scored(spark, sf).select("doc_id", "score").join(kept, "doc_id", "left_semi").withColumn("route", measures.route(F.col("score")))
+    good = s.where(F.col("route").isin("high_quality", "medium_quality")).withColumn("is_rewritten", F.lit(False))
+    return good.unionByName(s.where("route = 'to_rephrase'").withColumn("is_rewritten", F.lit(True)))
+
+
+@query(f"WITH {S.RULES}, x AS (SELECT doc_id, {S.SCORE} AS score, alpha_ratio, quality FROM q), h AS (SELECT * FROM x WHERE score >= 0.7) SELECT count(*)::BIGINT AS n_high, (count(*) FILTER (quality IS NOT NULL OR alpha_ratio < 0.7))::BIGINT AS would_be_dropped FROM h")
+def bypass_value(spark, sf):
+    """High scores that the strict rules would drop."""
+    ids = scored(spark, sf).where("score >= 0.7").select("text")
+    return ids.agg(F.count("*").alias("n_high"), F.count(quality.quality(F.col("text"), min_alpha=0.7)).alias("would_be_dropped"))
+
+
+@query(f"WITH b AS (SELECT doc_id, len({S.words('coalesce(text, ' + chr(39) * 2 + ')')}) + 1 AS n FROM documents), o AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) AS e FROM b) SELECT doc_id, ((e - n) // 513)::BIGINT AS first_chunk, ((e - 1) // 513)::BIGINT AS last_chunk FROM o")
+def chunk_packing(spark, sf):
+    """The fixed chunks of 513 that every document's words and end mark fall into, documents in the order of their ids.
+
+    Running totals go inside of ranges of ids; the totals of the ranges are added up apart.
+    """
+    rows = docs(spark, sf, "text").select("doc_id", (T.n_words(F.col("text")) + 1).alias("n"), F.floor(F.col("doc_id") / 5000).alias("r"))
+    per = rows.groupBy("r").agg(F.sum("n").alias("t"))
+    base = per.select("r", (F.sum("t").over(Window.orderBy("r")) - F.col("t")).alias("base"))  # one row for 5000 documents
+    e = rows.withColumn("e", F.sum("n").over(Window.partitionBy("r").orderBy("doc_id"))).join(base, "r")
+    end = F.col("base") + F.col("e")
+    return e.select("doc_id", F.floor((end - F.col("n")) / 513).alias("first_chunk"), F.floor((end - 1) / 513).alias("last_chunk"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 500")
+def seeded_sample(spark, sf):
+    """Five hundred documents by chance, the same ones every time."""
+    return table(spark, sf, "documents").select("doc_id").orderBy(measures.hash_order(42, "doc_id"), "doc_id").limit(500)
+
+
+@query("""WITH l AS (SELECT rec_id, max(llm_score) AS s FROM llm_labels WHERE llm_score IS NOT NULL GROUP BY 1), c AS (SELECT rec_id, CASE WHEN s >= 3 THEN 'high' ELSE 'low' END AS label FROM l WHERE s >= 3 OR s <= 1),
+ x AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('43:' || rec_id), rec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM c) SELECT rec_id, label FROM x WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM c GROUP BY label))""")
+def class_balance(spark, sf):
+    """As many labelled rows of either class."""
+    l = table(spark, sf, "llm_labels").where("llm_score IS NOT NULL").groupBy("rec_id").agg(F.max("llm_score").alias("s"))  # noqa: E741
+    c = l.where("s >= 3 OR s <= 1").select("rec_id", F.when(F.col("s") >= 3, "high").otherwise("low").alias("label"))
+    # the n-th hash of the larger class is the cut; a range join against it needs no ordered window over a class
+    n = c.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n").alias("m"))
+    ranked = c.withColumn("h", measures.hash_order(43, "rec_id"))
+    bucket = ranked.withColumn("b", F.substring("h", 1, 3))
+    sizes = bucket.groupBy("label", "b").agg(F.count("*").alias("k"))
+    before = sizes.withColumn("before", F.sum("k").over(Window.partitionBy("label").orderBy("b")) - F.col("k")).drop("k")  # 4096 rows a class
+    rn = F.row_number().over(Window.partitionBy("label", "b").orderBy("h", "rec_id"))
+    return bucket.join(F.broadcast(before), ["label", "b"]).withColumn("rn", rn + F.col("before")).crossJoin(F.broadcast(n)).where("rn <= m").select("rec_id", "label")
+
+
+@query(f"WITH o AS (SELECT DISTINCT left({S.strip('coalesce(text, ' + chr(39) * 2 + ')')}, 200) AS k FROM gen1_output) SELECT rec_id FROM gen1_rejected r WHERE left({S.strip('coalesce(r.text, ' + chr(39) * 2 + ')')}, 200) NOT IN (SELECT k FROM o)")
+def rejected_not_in_output(spark, sf):
+    """Rejected rows whose beginning stands in no row of the output."""
+    key = F.md5(T.match_key(F.col("text"))).alias("k")
+    return table(spark, sf, "gen1_rejected").select("rec_id", key).join(table(spark, sf, "gen1_output").select(key), "k", "left_anti").select("rec_id")
+
+
+@query("SELECT rec_id, source FROM gen1_output UNION ALL SELECT rec_id, source FROM gen1_rejected")
+def all_crawled(spark, sf):
+    """Output and rejected rows together; columns that only one of them has become null."""
+    return table(spark, sf, "gen1_output").unionByName(table(spark, sf, "gen1_rejected"), allowMissingColumns=True).select("rec_id", "source")
+
+
+def _diversity_sql(source: str) -> str:
+    return rf"""b AS (SELECT {S.words("lower(coalesce(text, ''))")} AS w FROM {source}), z AS (SELECT unnest([1, 2, 3, 4]) AS n),
+ g AS (SELECT n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS gram FROM b, z WHERE len(w) >= n), c AS (SELECT n, gram, count(*) AS c FROM g GROUP BY ALL)"""
+
+
+@query(f"WITH {_diversity_sql('documents')} SELECT n::INT AS n, count(*)::BIGINT AS n_unique, sum(c)::BIGINT AS n_total, round(count(*) / sum(c)::DOUBLE, 4) AS diversity FROM c GROUP BY n")
+def ngram_diversity(spark, sf):
+    return measures.ngram_diversity(docs(spark, sf, "text"))
+
+
+@query(f"WITH {_diversity_sql('documents')}, r AS (SELECT n, gram, c, row_number() OVER (PARTITION BY n ORDER BY c DESC, gram) AS k FROM c WHERE n <= 2) SELECT n::INT AS n, gram, c::BIGINT AS c FROM r WHERE k <= 10")
+def top_ngrams(spark, sf):
+    """The ten most frequent words and pairs of words; ties by spelling."""
+    c = measures.ngram_counts(docs(spark, sf, "text"), (1, 2))
+    # an aggregate of bounded memory instead of an ordered window over all n-grams
+    top = [c.where(F.col("n") == n).orderBy(F.desc("c"), "gram").limit(10) for n in (1, 2)]
+    return top[0].unionByName(top[1])
+
+
+@query(f"""WITH d AS (SELECT {S.domain('url')} AS dom FROM gen1_output), c AS (SELECT dom, count(*) AS c FROM d WHERE dom <> '' GROUP BY 1), h AS (SELECT * FROM c ORDER BY c DESC, dom LIMIT 50), p AS (SELECT c / sum(c) OVER () AS p FROM h), e AS (SELECT -sum(p * log2(p)) AS e, count(*) AS k FROM p)
+ SELECT round(e, 4) AS entropy, round(CASE WHEN k > 1 THEN log2(k) ELSE 0 END, 4) AS max_entropy, round(CASE WHEN k > 1 THEN e / log2(k) ELSE 0 END, 4) AS normalized, (SELECT count(*) FROM c)::BIGINT AS n_keys FROM e""")
+def domain_entropy(spark, sf):
+    c = table(spark, sf, "gen1_output").select(U.domain(F.col("url")).alias("dom")).where("dom <> ''").groupBy("dom").agg(F.count("*").alias("c"))
+    return measures.entropy(c, "dom")
+
+
+_LENGTHS = f"SELECT coalesce(nullif(lower(trim(source)), ''), 'unknown') AS source, len({S.words('coalesce(text, ' + chr(39) * 2 + ')')}) AS n FROM documents"
+
+
+@query(f"WITH l AS ({_LENGTHS}) SELECT source, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total_words, min(n)::BIGINT AS least, max(n)::BIGINT AS most, round(avg(n), 6) AS mean, " + ", ".join(f"round(quantile_cont(n, {q}), 6) AS p{round(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) + " FROM l GROUP BY source")
+def length_distribution(spark, sf):
+    n = T.n_words(F.col("text"))
+    rows = docs(spark, sf, "text", "source").select(F.coalesce(F.nullif(F.lower(F.trim("source")), F.lit("")), F.lit("unknown")).alias("source"), n.alias("n"))
+    return rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("total_words"), F.min("n").cast("bigint").alias("least"), F.max("n").cast("bigint").alias("most"), r6(F.avg("n"), "mean"), *measures.distribution(F.col("n"), (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)))
+
+
+@query("""WITH l AS (SELECT CASE WHEN _lang_confidence < 0.5 THEN 'uncertain' ELSE coalesce(nullif(regexp_extract(lower(trim(_detected_lang)), '^([a-z]+)', 1), ''), 'unknown') END AS lang, _lang_confidence AS c FROM gen1_output), g AS (SELECT lang, count(*) AS n, avg(c) AS conf FROM l GROUP BY 1)
+ SELECT lang, n::BIGINT AS n, round(conf, 6) AS mean_confidence, round(n / (SELECT sum(n) FROM g)::DOUBLE, 6) AS rate FROM g ORDER BY n DESC, lang LIMIT 20""")
+def language_distribution(spark, sf):
+    code = F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim("_detected_lang")), "^([a-z]+)", 1), F.lit("")), F.lit("unknown"))
+    g = table(spark, sf, "gen1_output").groupBy(F.when(F.col("_lang_confidence") < 0.5, "uncertain").otherwise(code).alias("lang")).agg(F.count("*").alias("n"), r6(F.avg("_lang_confidence"), "mean_confidence"))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("t")))).select("lang", "n", "mean_confidence", r6(F.col("n") / F.col("t"), "rate")).orderBy(F.desc("n"), "lang").limit(20)
+
+
+@query("SELECT count(DISTINCT segment)::BIGINT AS n_segments, count(DISTINCT " + S.domain("url") + ")::BIGINT AS n_domains, round(avg(length(coalesce(text, ''))), 6) AS mean_length FROM gen1_output")
+def crawl_statistics(spark, sf):
+    g = table(spark, sf, "gen1_output").select("segment", U.domain(F.col("url")).alias("d"), F.length(T.text_of(F.col("text"))).alias("n"))
+    return g.agg(F.countDistinct("segment").alias("n_segments"), F.countDistinct("d").alias("n_domains"), r6(F.avg("n"), "mean_length"))
+
+
+@query()
+def gen1_zh_pipeline(spark, sf):
+    """Chinese rows after detection, normal form and quality rules, with their script."""
+    c = F.col("text")
+    g = spread(table(spark, sf, "gen1_output").select("rec_id", "text"), "rec_id").where(chinese.char_ratios(c)["chinese"] >= 0.15)
+    g = g.select("rec_id", chinese.normalized(c).alias("text"))
+    return g.select("rec_id", chinese.quality(c).alias("reason"), chinese.script(c).alias("script"))
