@@ -61,7 +61,7 @@ def n_lines(c: Column) -> Column:
 
 def alpha_ratio(c: Column) -> Column:
     t = text_of(c)
-    return ratio(F.regexp_count(t, F.lit(r"\p{L}")), F.length(t))
+    return ratio(F.length(t) - F.length(F.regexp_replace(t, r"\p{L}+", "")), F.length(t))
 
 
 def latin_ratio(c: Column) -> Column:
@@ -75,16 +75,28 @@ def special_ratio(c: Column) -> Column:
     return ratio(F.regexp_count(t, F.lit(r"[^\p{L}\p{N}" + WS[1:-1] + "]")), F.length(t))
 
 
+_INNER = WS[1:-1]
+
+
+def token_count(c: Column, pattern: str) -> Column:
+    """Runs of visible characters of which ``pattern`` matches a beginning; one scan, no array of words."""
+    return F.regexp_count(text_of(c), F.lit(f"(?<![^{_INNER}])(?:{pattern})"))
+
+
 def stop_word_count(c: Column) -> Column:
-    """Occurrences of stop words, punctuation around words taken off."""
-    known = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return count_if(words(F.lower(c)), lambda w: F.array_contains(known, F.regexp_replace(w, r"""^[.,!?;:'"]+|[.,!?;:'"]+$""", "")))
+    """Occurrences of stop words, with multiplicity, punctuation around words taken off."""
+    marks = """[.,!?;:'"]*"""
+    return token_count(c, f"(?i){marks}(?:{'|'.join(STOP_WORDS)}){marks}(?![^{_INNER}])")
 
 
 def avg_sentence_length(c: Column) -> Column:
-    pieces = F.filter(F.split(text_of(c), "[.!?]+"), lambda s: strip(s) != "")
-    sizes = F.transform(pieces, lambda s: F.size(words(s)))
-    return ratio(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.size(sizes))
+    """Words of a sentence on average; a sentence ends at a run of ``.!?``.
+
+    The words of all sentences together are those of the text with the ends as blanks.
+    """
+    t = F.regexp_replace(text_of(c), "[.!?]+", "\x02")
+    total = F.size(words(F.translate(t, "\x02", " ")))
+    return ratio(total, F.regexp_count(t, F.lit(f"(?:^|\x02)[^\x02]*?[^\x02{WS[1:-1]}]")))
 
 
 def truncated(c: Column, limit: int) -> Column:

@@ -1,9 +1,11 @@
 """The rule cascade as one plan: every row gets the first reason that drops it."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions import text as T
 from gristmill.operators import ngrams, quality
 
 STEPS = ("lang", "quality", "repetition")
@@ -22,11 +24,16 @@ def annotated(df: DataFrame, text_col: str = "text", lang_col: str = "lang", tar
     """
     lang = language(F.col(lang_col))
     early = F.when(lang != target, F.concat(F.lit("lang:"), lang))
-    q = quality.quality(F.col(text_col))
-    df = df.withColumn("_early", F.coalesce(early, F.when(q.isNotNull(), F.concat(F.lit("quality:"), q))))
-    df = ngrams.with_fractions(df.withColumn("_rest", F.when(F.col("_early").isNull(), F.col(text_col))), "_rest")
+    # one Arrow function gives the quality reason and, for what passes, the n-gram fractions
+    @F.pandas_udf("q string, g array<double>")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        q = [None if t is None else quality.row_reason(t) for t in texts]
+        return pd.DataFrame({"q": q, "g": [None if t is None or r else ngrams.fractions(t) for t, r in zip(texts, q)]})
+
+    df = df.withColumn("_early", early).withColumn("_j", judged(F.when(F.col("_early").isNull(), T.text_of(F.col(text_col)))))
+    df = df.withColumn("_grams", F.col("_j.g")).withColumn("_early", F.coalesce("_early", F.concat(F.lit("quality:"), F.col("_j.q"))))
     r = ngrams.reason(F.col(text_col))
-    return df.withColumn("reason", F.coalesce("_early", F.when(r.isNotNull(), F.concat(F.lit("repetition:"), r)))).drop("_early", "_rest", "_grams")
+    return df.withColumn("reason", F.coalesce("_early", F.when(F.col("_grams").isNotNull(), F.concat(F.lit("repetition:"), r)))).drop("_early", "_j", "_grams")
 
 
 def step_statistics(df: DataFrame) -> DataFrame:

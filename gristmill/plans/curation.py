@@ -217,7 +217,7 @@ def coverage_gain(spark, sf):
     return x.select("na", "nb", "nc", "n_union", (F.col("n_union") - F.greatest("na", "nb", "nc")).alias("gain"), r6(F.col("n_union") / F.col("n"), "rate"))
 
 
-@query(f"WITH {_CASCADE}, k AS (SELECT doc_id, {S.SCORE} AS score FROM cas WHERE reason IS NULL), c AS (SELECT quantile_cont(score, 0.9) AS threshold FROM k) SELECT doc_id, score FROM k, c WHERE score >= threshold")
+@query(f"WITH {_CASCADE}, k AS (SELECT doc_id, {S.SCORE} AS score FROM cas WHERE reason IS NULL), cut AS (SELECT quantile_cont(score, 0.9) AS threshold FROM k) SELECT doc_id, score FROM k, cut WHERE score >= threshold")
 def gen2_pipeline(spark, sf):
     """Rule cascade, then the best tenth by score."""
     kept = _cascade(spark, sf).where("reason IS NULL").select("doc_id")
@@ -237,7 +237,7 @@ def gen3_pipeline(spark, sf):
 def bypass_value(spark, sf):
     """High scores that the strict rules would drop."""
     ids = scored(spark, sf).where("score >= 0.7").select("text")
-    return ids.agg(F.count("*").alias("n_high"), F.count(quality.quality(F.col("text"), min_alpha=0.7)).alias("would_be_dropped"))
+    return ids.agg(F.count("*").alias("n_high"), F.count(quality.quality_in_batches(F.col("text"), min_alpha=0.7)).alias("would_be_dropped"))
 
 
 @query(f"WITH b AS (SELECT doc_id, len({S.words('coalesce(text, ' + chr(39) * 2 + ')')}) + 1 AS n FROM documents), o AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) AS e FROM b) SELECT doc_id, ((e - n) // 513)::BIGINT AS first_chunk, ((e - 1) // 513)::BIGINT AS last_chunk FROM o")

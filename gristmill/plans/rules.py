@@ -77,27 +77,27 @@ def repetition_reasons(spark, sf):
 
 @query(f"WITH {S.RULES} SELECT doc_id, gopher FROM q")
 def gopher_quality(spark, sf):
-    return docs(spark, sf, "text").select("doc_id", quality.gopher(F.col("text")).alias("gopher"))
+    return quality.prepared(docs(spark, sf, "text")).select("doc_id", quality.gopher(F.col("text")).alias("gopher"))
 
 
 @query(f"WITH {S.RULES} SELECT doc_id, c4 FROM q")
 def c4_quality(spark, sf):
-    return docs(spark, sf, "text").select("doc_id", quality.c4(F.col("text")).alias("c4"))
+    return quality.prepared(docs(spark, sf, "text")).select("doc_id", quality.c4(F.col("text")).alias("c4"))
 
 
 @query(f"WITH {S.RULES} SELECT doc_id, listlike FROM q")
 def listlike_quality(spark, sf):
-    return docs(spark, sf, "text").select("doc_id", quality.listlike(F.col("text")).alias("listlike"))
+    return quality.prepared(docs(spark, sf, "text")).select("doc_id", quality.listlike(F.col("text")).alias("listlike"))
 
 
 @query(f"WITH {S.RULES} SELECT doc_id, quality FROM q")
 def quality_reasons(spark, sf):
-    return docs(spark, sf, "text").select("doc_id", quality.quality(F.col("text")).alias("quality"))
+    return docs(spark, sf, "text").select("doc_id", quality.quality_in_batches(F.col("text")).alias("quality"))
 
 
 @query(f"WITH {S.RULES} SELECT count(*)::BIGINT AS total, count(quality)::BIGINT AS filtered, round(1 - count(quality) / count(*)::DOUBLE, 6) AS retention, (count(*) FILTER (quality LIKE 'gopher:%'))::BIGINT AS gopher, (count(*) FILTER (quality LIKE 'c4:%'))::BIGINT AS c4, (count(*) FILTER (quality LIKE 'fineweb:%'))::BIGINT AS listlike FROM q")
 def quality_statistics(spark, sf):
-    q = docs(spark, sf, "text").select(quality.quality(F.col("text")).alias("q"))
+    q = docs(spark, sf, "text").select(quality.quality_in_batches(F.col("text")).alias("q"))
     part = F.substring_index("q", ":", 1)
     return q.agg(
         F.count("*").alias("total"), F.count("q").alias("filtered"), r6(1 - F.count("q") / F.count("*"), "retention"),
@@ -109,7 +109,7 @@ def quality_statistics(spark, sf):
  SELECT k AS rule, n::BIGINT AS n, doc_id AS example FROM x WHERE rn = 1""")
 def rule_attribution(spark, sf):
     """Rows and the first example of every rule."""
-    q = docs(spark, sf, "text").select("doc_id", quality.quality(F.col("text")).alias("q")).where("q IS NOT NULL")
+    q = docs(spark, sf, "text").select("doc_id", quality.quality_in_batches(F.col("text")).alias("q")).where("q IS NOT NULL")
     return q.groupBy(F.regexp_replace("q", "^fineweb:", "third:").alias("rule")).agg(F.count("*").alias("n"), F.min("doc_id").alias("example"))
 
 
