@@ -45,12 +45,13 @@ def entropy(counts: DataFrame, key: str, c: str = "c", top: int = 50) -> DataFra
     ``n_keys`` counts all keys; ``normalized`` is by the most that so many keys can have.
     """
     head = counts.orderBy(F.desc(c), F.asc(key)).limit(top)
-    total = head.agg(F.sum(c).alias("t"), F.count("*").alias("k"))
-    bits = head.crossJoin(F.broadcast(total)).agg((-F.sum(F.col(c) / F.col("t") * F.log2(F.col(c) / F.col("t")))).alias("entropy"), F.max("k").alias("k"))  # one row against at most ``top``
+    total = head.agg(F.sum(c).alias("_t"), F.count("*").alias("_k"))
+    share = F.col(c) / F.col("_t")
+    bits = head.select(c).crossJoin(F.broadcast(total)).agg((-F.sum(share * F.log2(share))).alias("_e"), F.max("_k").alias("_k"))  # one row against at most ``top``
     every = counts.agg(F.count("*").alias("n_keys"))
     out = bits.crossJoin(F.broadcast(every))  # one row each
-    most = F.when(F.col("k") > 1, F.log2("k"))
-    return out.select(F.round("entropy", 4).alias("entropy"), F.round(F.coalesce(most, F.lit(0.0)), 4).alias("max_entropy"), F.round(F.coalesce(F.col("entropy") / most, F.lit(0.0)), 4).alias("normalized"), "n_keys")
+    most = F.when(F.col("_k") > 1, F.log2("_k"))
+    return out.select(F.round("_e", 4).alias("entropy"), F.round(F.coalesce(most, F.lit(0.0)), 4).alias("max_entropy"), F.round(F.coalesce(F.col("_e") / most, F.lit(0.0)), 4).alias("normalized"), "n_keys")
 
 
 def distribution(x: Column, qs: tuple[float, ...]) -> list[Column]:

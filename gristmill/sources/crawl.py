@@ -46,7 +46,7 @@ def _read(spark: SparkSession, path: str, pick) -> DataFrame:
     def run(pdfs):
         for pdf in pdfs:
             for source, blob in zip(pdf["path"], pdf["content"]):
-                rows = [(url, body, source) for kind, url, body in _records(blob) if (body := pick(kind, body)) is not None]
+                rows = [(url, text, source) for kind, url, body in _records(blob) if (text := pick(kind, body)) is not None]
                 yield pd.DataFrame(rows, columns=["url", "text", "source"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "url string, text string, source string")
