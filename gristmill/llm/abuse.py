@@ -22,14 +22,16 @@ from gristmill.llm import labelled_abuse, labelled_pages, lex
 from gristmill.sources.tables import spread
 
 WINDOW = 12
+#: A window may also begin later, as long as it holds this many words.
+SHORTEST = 6
 DIMS = 1 << 18
 RANK = 6
 #: Bound of the labelled sample that the model is fitted on.
 MAX_LABELLED = 5_000
 #: Bound of the texts that a loose score calls harmless, used as background.
 MAX_BACKGROUND = 500
-THRESHOLD = 0.6
-HOT = 0.5
+THRESHOLD = 0.85
+HOT = 0.25
 #: Labels of page navigation that speak to the reader.
 _LABELS = re.compile(r"you are here ?:|you may also like|you have \d+ free articles left")
 
@@ -163,10 +165,14 @@ class Model:
         total = self.w0 + self.w[terms]
         s1 = self.v[terms].copy()
         s2 = s1 * s1
+        top = np.full(len(known), -np.inf)
         for k in range(1, width):
             live = np.flatnonzero((known[k:] - known[:-k] < width) & (at[k:] == at[:-k])) + k
             if not len(live):
                 break
+            # the window that ends before this term, if it is not too short to tell
+            full = live[known[live] - known[live - k] >= SHORTEST]
+            top[full] = np.maximum(top[full], total[full] + 0.5 * (s1[full] ** 2 - s2[full]).sum(axis=1))
             r = terms[live - k]
             fresh = np.ones(len(live), bool)
             for j in range(k):
@@ -176,7 +182,7 @@ class Model:
             vv = self.v[r]
             s1[live] += vv
             s2[live] += vv * vv
-        score = total + 0.5 * (s1 * s1 - s2).sum(axis=1)
+        score = np.maximum(top, total + 0.5 * (s1 * s1 - s2).sum(axis=1))
         np.maximum.at(best, at, score)
         return best
 

@@ -47,6 +47,10 @@ For the record, he gave his {I} at the desk.
 The form still showed my {I}, which should not be public.
 The clerk copied the {I} into the book.
 Her {I} was on the card.
+{I}.
+My {I}, please keep it.
+{N}, {I}
+{N} | {I} | {P}
 Home address: {S}
 I have lived at {S} for years.
 Send the parcel to {S}.
@@ -282,7 +286,7 @@ class _Fill:
 _TYPES = {"N": "person_name", "E": "email", "P": "phone", "I": "id_number", "S": "street_address", "D": "street_address", "F": "street_address", "C": "street_address"}
 
 
-def rows(copies: int = 4, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def rows(copies: int = 7, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Sentences with the spans ``(begin, end, type)`` of their personal information."""
     fill = _Fill(seed)
     out = []
