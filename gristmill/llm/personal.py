@@ -416,7 +416,7 @@ def _find(tagger: Tagger):
         for whole in pdfs:
             for pdf in lex.batches([whole], 1500):
                 hits = sorted({(i, kind) for i, _, _, kind in entities(tagger, pdf["text"].tolist())})
-                yield pd.DataFrame({"rec_id": pdf["rec_id"].to_numpy()[[i for i, _ in hits]], "pii_type": [k for _, k in hits]})
+                yield pd.DataFrame({"rec_id": pdf["rec_id"].iloc[[i for i, _ in hits]].to_numpy(), "pii_type": pd.Series([k for _, k in hits], dtype=object)})
 
     return run
 
@@ -425,7 +425,7 @@ def _mask(tagger: Tagger):
     def run(pdfs):
         for whole in pdfs:
             for pdf in lex.batches([whole], 1500):
-                yield pd.DataFrame({"rec_id": pdf["rec_id"], "text": mask(tagger, pdf["text"].tolist())})
+                yield pd.DataFrame({"rec_id": pdf["rec_id"].to_numpy(), "text": pd.Series(mask(tagger, pdf["text"].tolist()), dtype=object)})
 
     return run
 
