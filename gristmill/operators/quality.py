@@ -74,7 +74,7 @@ def quality(c: Column, **strict) -> Column:
     def tagged(tag: str, r: Column) -> Column:
         return F.concat(F.lit(tag + ":"), r)  # null stays null
 
-    return F.coalesce(tagged("gopher", gopher(c, **strict)), tagged("c4", c4(c)), tagged("fineweb", listlike(c)))
+    return F.coalesce(tagged("gopher", gopher(c, **strict)), tagged("c4", c4(c)), tagged("third", listlike(c)))
 
 
 _STOP = frozenset(T.STOP_WORDS)
@@ -145,7 +145,7 @@ def row_reason(text: str | None, min_alpha: float = 0.5) -> str | None:
     if r:
         return "c4:" + r
     r = _list_row(ws, lines)
-    return "fineweb:" + r if r else None
+    return "third:" + r if r else None
 
 
 def quality_in_batches(c: Column, min_alpha: float = 0.5) -> Column:

@@ -95,22 +95,22 @@ def quality_reasons(spark, sf):
     return docs(spark, sf, "text").select("doc_id", quality.quality_in_batches(F.col("text")).alias("quality"))
 
 
-@query(f"WITH {S.RULES} SELECT count(*)::BIGINT AS total, count(quality)::BIGINT AS filtered, round(1 - count(quality) / count(*)::DOUBLE, 6) AS retention, (count(*) FILTER (quality LIKE 'gopher:%'))::BIGINT AS gopher, (count(*) FILTER (quality LIKE 'c4:%'))::BIGINT AS c4, (count(*) FILTER (quality LIKE 'fineweb:%'))::BIGINT AS listlike FROM q")
+@query(f"WITH {S.RULES} SELECT count(*)::BIGINT AS total, count(quality)::BIGINT AS filtered, round(1 - count(quality) / count(*)::DOUBLE, 6) AS retention, (count(*) FILTER (quality LIKE 'gopher:%'))::BIGINT AS gopher, (count(*) FILTER (quality LIKE 'c4:%'))::BIGINT AS c4, (count(*) FILTER (quality LIKE 'third:%'))::BIGINT AS listlike FROM q")
 def quality_statistics(spark, sf):
     q = docs(spark, sf, "text").select(quality.quality_in_batches(F.col("text")).alias("q"))
     part = F.substring_index("q", ":", 1)
     return q.agg(
         F.count("*").alias("total"), F.count("q").alias("filtered"), r6(1 - F.count("q") / F.count("*"), "retention"),
-        F.count_if(part == "gopher").alias("gopher"), F.count_if(part == "c4").alias("c4"), F.count_if(part == "fineweb").alias("listlike"),
+        F.count_if(part == "gopher").alias("gopher"), F.count_if(part == "c4").alias("c4"), F.count_if(part == "third").alias("listlike"),
     )
 
 
-@query(f"""WITH {S.RULES}, g AS (SELECT regexp_replace(quality, '^fineweb:', 'third:') AS k, doc_id FROM q WHERE quality IS NOT NULL), x AS (SELECT k, doc_id, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY k) AS n FROM g)
+@query(f"""WITH {S.RULES}, g AS (SELECT quality AS k, doc_id FROM q WHERE quality IS NOT NULL), x AS (SELECT k, doc_id, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY k) AS n FROM g)
  SELECT k AS rule, n::BIGINT AS n, doc_id AS example FROM x WHERE rn = 1""")
 def rule_attribution(spark, sf):
     """Rows and the first example of every rule."""
     q = docs(spark, sf, "text").select("doc_id", quality.quality_in_batches(F.col("text")).alias("q")).where("q IS NOT NULL")
-    return q.groupBy(F.regexp_replace("q", "^fineweb:", "third:").alias("rule")).agg(F.count("*").alias("n"), F.min("doc_id").alias("example"))
+    return q.groupBy(F.col("q").alias("rule")).agg(F.count("*").alias("n"), F.min("doc_id").alias("example"))
 
 
 _PII_SQL_SSN = r"\b(?:00[1-9]|0[1-9]\d|[1-578]\d{2}|6[0-57-9]\d|66[0-57-9])[-\s]?(?:0[1-9]|[1-9]\d)[-\s]?(?:000[1-9]|00[1-9]\d|0[1-9]\d{2}|[1-9]\d{3})\b"

@@ -75,7 +75,7 @@ LISTLIKE = rf"""CASE WHEN len({_NB}) = 0 THEN 'empty_text'
  WHEN n_words > 0 AND {ratio("len(list_filter(ws, lambda y: regexp_matches(y, '" + chr(92) + "p{L}')))", "len(ws)")} < 0.6 THEN 'low_alpha_word_ratio' END"""
 RULES = f"""{METRICS.rstrip()},
 r AS (SELECT *, {GOPHER} AS gopher, {C4} AS c4, {LISTLIKE} AS listlike FROM m),
-q AS (SELECT *, coalesce('gopher:' || gopher, 'c4:' || c4, 'fineweb:' || listlike) AS quality FROM r)"""
+q AS (SELECT *, coalesce('gopher:' || gopher, 'c4:' || c4, 'third:' || listlike) AS quality FROM r)"""
 #: A deterministic score that stands in for a learned one.
 SCORE = "round(0.6 * alpha_ratio + 0.4 * least(1.0, CASE WHEN n_words > 0 THEN 2.5 * stop_words / n_words ELSE 0.0 END), 4)"
 SCORED = f"{METRICS.rstrip()}, s AS (SELECT doc_id, source, lang, segment, t, n_words, {SCORE} AS score FROM m)"
