@@ -49,9 +49,13 @@ def duplicate_lines(spark, sf):
     return docs(spark, sf, "text").select("doc_id", r6(T.duplicate_line_fraction(c), "dup_lines"), r6(T.duplicate_paragraph_fraction(c), "dup_paragraphs"))
 
 
+_EACH_N = " UNION ALL ".join(
+    f"SELECT doc_id, {n} AS n, total, gram FROM (SELECT doc_id, total, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS gram FROM u) WHERE i <= total - {n} + 1" for n in ngrams.SIZES
+)
 _GRAMS = rf"""gbase AS (SELECT doc_id, {S.words("lower(coalesce(text, ''))")} AS w FROM documents),
  sizes AS (SELECT unnest(range(2, 11)) AS n),
- g AS (SELECT doc_id, n, len(w) AS total, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS gram FROM gbase, sizes WHERE len(w) >= n),
+ u AS (SELECT doc_id, len(w) AS total, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM gbase),
+ g AS ({_EACH_N}),
  c AS (SELECT doc_id, n, gram, max(total) AS total, count(*) AS k FROM g GROUP BY ALL),
  f AS (SELECT doc_id, n::BIGINT AS n, max(k) * any_value(n) / max(total)::DOUBLE AS top_fraction, coalesce(sum(k) FILTER (k > 1), 0) * any_value(n) / max(total)::DOUBLE AS dup_fraction FROM c GROUP BY doc_id, n),
  fr AS (SELECT b.doc_id, s.n::BIGINT AS n, coalesce(f.top_fraction, 0.0) AS top_fraction, coalesce(f.dup_fraction, 0.0) AS dup_fraction FROM gbase b CROSS JOIN sizes s LEFT JOIN f ON f.doc_id = b.doc_id AND f.n = s.n)"""
