@@ -15,8 +15,18 @@ from gristmill.llm import labelled_pages
 GIVEN = frozenset(
     "Victor Simon Karim Ayumi Felix Kofi Peter Monika Rosa Sofia Clara David Helen Julia Laura Fatima Paul Irene Tomas Samuel Yusuf Bogdan Leon Chen Amara Priya Ines Elena Emil Jonas Alice Adrian Mei Nora Maria Martin Greta Teresa Milan Olena Ravi Oscar Edith Walter Robert Hugo Lena Anna John James William Thomas Michael Richard Charles Joseph George Edward Henry Daniel Andrew Mark Steven Kevin Brian Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Emma Olivia Sophie Lucy Grace Hannah Hans Klaus Jürgen Stefan Wolfgang Andreas Markus Sabine Petra Ursula Claudia Katrin Heike Anja Pierre Jean Michel Jacques Claude Philippe Marie Isabelle Nathalie Camille José Carlos Juan Luis Miguel Antonio Javier Carmen Ana Isabel Lucía Pilar Elisa Ivan Dmitri Olga Natalia Ahmed Mohammed Omar Ali Aisha Layla Wei Ming Li Yuki Hiroshi Kenji Raj Anita Sanjay Deepa Lars Erik Ingrid Sven Nils Astrid Marco Luca Giulia Paolo Chiara Mateo Diego Sara Eva Max Tim Tom Ben Sam Kate Jane Ruth Ida Ada Otto Karl Fritz Lukas Noah Mia Zoe Amir Nadia Leila Hassan Ibrahim Kwame Ama Abena".split()
 )
+#: Given names for training that are not in ``GIVEN``, so that the list is a hint and not what decides.
+_OTHER_GIVEN = "Torvald Wilhelmina Brannoc Ottoline Quentin Saoirse Ignatius Marguerite Benedikt Friederike Annegret Gunther Dieter Hildegard Lothar Reinhard Wiebke Thorsten Anselm Bertrand Solange Thibault Ghislaine Lucienne Fabrice Odile Gaspard Joaquín Consuelo Ramiro Esperanza Gonzalo Rocío Anselmo Zdeněk Bronisław Jadwiga Miroslav Ludmila Svetlana Grigori Yevgenia Rustam Gulnara Farid Zaynab Tariq Khadija Mustafa Nasreen Bilal Oluwaseun Chinedu Adaeze Babatunde Thandiwe Sipho Lerato Haruki Sakura Takeshi Noriko Minjun Jiwoo Nguyet Linh Rajesh Sunita Arjun Kavita Lakshmi Vikram Siobhan Alasdair Rhiannon Gethin Morwenna Percival Clementine Rupert Harriet Desmond Beatrix Leopold Cordelia Ambrose Winifred Roderick Philippa Cedric Imogen Eilidh Annika Torbjörn Gudrun Halvard Sigrid Pekka Aino Kaisa Jukka Maarten Joost Femke Liesbeth Giacomo Ottavia Ruggero Fiorella Eleftheria Kostas".split()
+#: Characters of Chinese names.
+HAN_SURNAMES = frozenset("王李张刘陈杨黄赵吴周徐孙马朱胡郭何林罗梁宋郑谢韩唐冯董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊陆郝孔崔康毛邱秦江史顾侯邵孟龙段雷钱汤尹黎武贺龚文")
+_HAN_GIVEN = "伟芳娜敏静丽强磊军洋勇艳杰娟涛超秀霞刚桂英华玉兰辉鹏宇欣怡浩然梓涵思雨子轩雪梅志国建红晓燕婷博"
 _SURNAMES = "Brandmann Kelova Torsen Valez Imric Ostlund Harquist Dorbrenn Salkov Velstedt Perelli Norgren Thalsund Quarnova Renaard Baldahl Wenhorst Stenrup Fenvik Limansk Gerwald Muldal Orkrich Hallberg Smith Miller Weber Dubois Moreau Garcia Lopez Novak Petrov Yamada Okafor Mensah Haddad Iversen Bianchi Vormann Kareckez".split()
 _PLACES = "Hillford Westmoor Eastport Norbridge Dunholm Salcombe Kelmark Thalwick Brantal Osburg Limville Garstad Wendale Fenridge Zelhafen".split()
+#: Beginnings and endings of invented places.
+_HEADS = "Brun Hask Mel Tarn Orl Pend Wex Fros Kest Lund Marl Nord Rud Sten Ulv Yarl Ash Bram Corn Drey Elm Gorse Hurst Ink Jarl".split()
+PLACE_ENDS = tuple("ford dale mere wick haven burg ville moor mark ridge combe port hafen see tal stadt stad heim bridge gate holm mouth".split())
+#: Words of titles and lists, which only count by their shape.
+NOUNS = "anchor apron arbour barrel basket beacon blanket bottle bramble bucket butter candle canvas carriage cellar chimney cider clover copper cradle curtain dagger dairy drawer feather fiddle fossil furnace garlic glacier goblet granite hammer harvest hazel heron honey hornet iron jacket kettle ladder lattice lemon linen lobster locket marble meadow mirror mustard needle nettle oyster paddle parsley pebble pepper pigeon pillow plaster pocket pottery pulley rabbit ribbon saddle saffron salmon satchel scarf shutter silver sparrow spindle sugar tassel thistle timber trumpet tulip tunnel turnip velvet violin walnut wicker window wool apfel becken bohne decke eimer fenster flasche hammer kerze kessel korb leiter löffel nadel ofen pfanne sattel schaufel schrank spiegel teppich tisch vorhang wolle zange zwiebel assiette balance bouteille chaise corde couteau échelle fourchette horloge lampe panier plume rideau savon tapis vaisselle abeja alfombra botella cadena cuchara espejo escoba farol lana manzana olla reloj silla tijera vela".split()
 _ORGS = ["Hillford Union", "Westmoor Museum", "Dunholm Institute", "Brantal Society", "Osburg Trust", "Limville Press", "Garstad Works", "Wendale Collective", "Eastport Foundry", "Kelmark Laboratory"]
 
 TEMPLATES = """
@@ -103,6 +113,102 @@ Mande el paquete a {C}.
 Vivo en {C} desde hace años.
 {N}, {C}, {E}
 联系人 {N}，电话 {P}。
+联系人{H}，电话 {P}。
+联系人：{H}
+我叫{H}，住在这里很多年了。
+{H}先生一直没有付账单。
+{H}女士住在河边的房子里。
+如有问题请与{H}联系，邮箱 {E}。
+此致 {H}
+{H}，{P}，{E}
+卖家{H}的电话是 {P}。
+Kind regards⏎{N}⏎⏎The gate was shut.
+Sincerely,⏎{N}
+Mit freundlichen Grüßen⏎{N}
+Cordialement,⏎{N}
+Un saludo,⏎{N}⏎
+The parcel was left with⏎{N} next door.
+The parcel was left with {N} next door.
+Yesterday {N} called me from {L} and asked for the key.
+Phone: {P}⏎The {O} is near.
+{S}, tel. {P}. The {O} was shut.
+Mobile {P}, ask for the red cart.
+The case is closed. Home address: {S}⏎The {O} is near.
+Home address: {S}⏎Write to [EMAIL] for more. The {O} gave {d}{d} coins.
+I have lived at {S}⏎{W} {W} In {L}
+Narrow Harbour In {L}⏎⏎Mobile {P}, ask for the blue boat.
+The seller, {N}, can be called on {P}. {L} lost it.
+{d}{d}{d}.{d}{d},{d}{d}{d}.{d},{d}{d}{d}.{d}{d}{d}⏎{d}{d}{d}.{d}{d}{d}{d},{d}{d}{d}.{d}{d}{d},{d}{d}{d}.{d}{d}{d}
+{d}{d}.{d}{d},-{d}{d}{d}.{d},{d}{d}.{d}{d}{d}⏎{d}{d}.{d}{d}{d}{d},{d}{d}{d}.{d}{d}{d},-{d}.{d}{d}{d}
+{d}{d}{d}{d}.{d}{d},{d}{d}{d}.{d},{d}{d}{d}.{d}{d}{d}...⏎{d}{d}{d}.{d},{d}{d}{d}.{d}{d}{d}
+{W} {W}-Can In {L}⏎⏎{W} was near.
+{W} Watering-Can In {L}
+Pour {O} c'était à la fois vieux et neuf.
+Puis parlé avec {O}, et personne ne vint.
+It was bright, and gave both to the {O}, but the gate was shut.
+at {W}.{W}.run({W}.jv:{d}{d}{d})
+at 水井.{W}.run(田野.jv:{d}{d}{d})
+if (钟声[{d}] != null) { 田野.set({d}{d}); }
+Share this page: {W} {W} Mail Print
+Select language: English Deutsch Français Español
+Forum   Newsletter   Basket (0)   News   Search   {W}
+Aide   Agenda   Emplois   S'inscrire   Actualités   Contact
+Foro   Agenda   Noticias   Cesta (0)   Donar   Quiénes somos
+Hilfe   Termine   Stellen   Anmelden   Warenkorb (0)   Kontakt
+{W} & co / All {W} / All {W} / The {W} room / {W}
+Jeden {W} wurde die Straße gefegt. Ohne {W} wurde sie nie sauber.
+For example, at the {O} it seems wide. Without {W} it was not.
+Y luego habló con {O}, y como la escuela no abrió.
+Vino el mediodía y luego habló con {O}, pero la casa no.
+HACÍA TAN FRÍO HACE DOS VERANOS, Y A LA ORILLA DE {L} NO HABÍA NADIE.
+IL FAISAIT SI FROID, ET À LA FIN DE LA RUE DE {L} IL N'Y AVAIT PERSONNE.
+ES WAR SO KALT, UND AM ENDE DER STRASSE VON {L} WAR NIEMAND.
+BUY T H E BEST {W} TONIGHT, NO CARD NEEDED
+Â€¶™{d}c{d}¼ïÃxzaÂ x¿ïÃÃ™©¿ââÂ¿¿¿¶¼¼cc Ã⏎ncÃyzÃÃ©¤½Â½€
+两周以前，居民看了桥梁，工程师和司机一起听到钟声。除了桥梁以外，田野也很大。
+工程师写信给管理者，说钟声还没有人听到，田野出了问题，桥梁就会先修。
+三周以前，记者描述了田野，并且讨论了钟声，不管桥梁多么旧，工程师都舍不得。
+一开始，工程师写信给司机，上个月医生修理了安静的田野。在青石镇，学生常常提到钟声。
+在云溪，学生常常提到普通的田野。上个月，司机一开始就听到钟声。
+如果田野出了问题，工程师就会先看钟声。花了{d}{d}{d}天才收集了田野。
+It was sold at the {O}.
+La casa quedó vendida en {O}, así que la puerta no abrió.
+Luego habló con {O}.
+Según {O} también la puerta debe ser nueva.
+Le pont fut réparé chez {O}, donc personne ne vient.
+Selon {O} la porte est ouverte.
+Pour {O} c'était à la fin.
+À {L} il y a {d}{d} endroits.
+Ce que l'on dit à {L}. À {L} il y a {d}{d}{d} maisons.
+Für {O} war die Sammlung alt.
+In {L} gibt es {d}{d} Orte. Für {L} war es neu.
+Der {W} – {L}
+Die {W} – {L}⏎Man kann es sehen.
+Das {W} – {L}⏎⏎Die {W} war klein.
+{W} {W} {L} hell {W} {L} {W} neu {L} {W} {W} {W}
+{W} {L} {W} {W} klein {W} {W} {W}
+{L} {W} rough {W} {W} {L} old {L} {W} {W}
+{W} {W} {W} {W} {W} {W} {L} {L} {L} small {L}
+{W} {L} – {W} {W} – {W}
+{W} {W} In {L}
+The {W} {W} Of {L}⏎⏎It was {W}.
+{W}   {W}   {W} & co   {W} review   {W}
+{W} & co | All {W} | All {W} | The {W} room | {W}
+Home | News | {W} | All {W} | {W} room | {W} {W}
+Search   Jobs   Home   My account   {W}   Contact
+{W} {W} | {W} {W} | {W} | {W} {W}
+{W}, {W}, {W}, {W}
+- {W} {W}⏎- {W} {W}⏎- {W}
+{W} {W}⏎{W} {W}⏎{W} {W}
+All content belongs to {W} {W}, {L}. Reproduction only with permission.
+© {d}{d}{d}{d} {W} {W}
+{W} {W} needs your consent. Allow | Refuse
+{W} {W} braucht Ihre Zustimmung. Zulassen | Ablehnen
+It came from {L}. At the {O} nobody knew.
+They met in {L}. The {W} was old.
+The {W} {W} was shown at the {O} in {L}.
+In {L} the {W} Festival begins on {W} Day.
+{W} {W}: {d}{d} kg
 请写信到 {E}。
 The port of {O} lies 27 km north of the Beacon Street market.
 The Lantern Road bridge and the Kiln Street station were closed.
@@ -182,6 +288,15 @@ he he he he could not remember remember remember when the broken broken broken a
 one one one one one neighbour wrote that that that that the plan was was was new
 有{d}{d}{d}位农民参加了关于机器的讨论。听说石桥村的磨坊已经用了{d}{d}年，店主认为狭窄的港口不如水井那么重要。
 老师花了{d}{d}{d}天才修理了花园。
+高大的石桥和方形的水井都在江边，周围有一片田地，任何人都可以走过去。
+黄色的叶子落在马路上，龙舟还没有修好，文章里没有写到这件事。
+据石桥村的农民说，许多人在夏天和秋天来到白马湖，余下的时间很安静。
+先生们和女士们坐在博物馆的石头上，联系人还没有来。
+如有问题请与我们联系，电话和地址在下面。
+这张地图和那张地图一样，钱没有丢，汤也没有凉。
+邻居们何时离开这座城市，谁也不知道，方法和程序都已经改变。
+梁上的钟很旧，江水流过石头，康复的马在林子里。
+首页 关于我们 联系我们 版权所有
 Copyright 2027 Blue Lantern | Terms of use | Privacy policy | Imprint
 Blue Lantern 2027
 Subscribe to our newsletter
@@ -200,6 +315,7 @@ class _Fill:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.given = sorted(GIVEN)
+        self.han = sorted(HAN_SURNAMES)
 
     def d(self) -> str:
         return str(self.r.randint(0, 9))
@@ -213,13 +329,24 @@ class _Fill:
 
     def N(self) -> str:
         middle = f" {self.r.choice('ABCDEFGHKLMRS')}." if self.r.random() < 0.2 else ""
-        return f"{self.r.choice(self.given)}{middle} {self.surname()}"
+        given, k = self.r.choice(self.given if self.r.random() < 0.5 else _OTHER_GIVEN), self.r.random()
+        if k < 0.08:
+            return f"{given[0]}. {self.surname()}"
+        if k < 0.14:
+            return f"{self.surname()}, {given}"
+        return f"{given}{middle} {self.surname()}"
+
+    def H(self) -> str:
+        return (self.r.choice(self.han) if self.r.random() < 0.9 else self.r.choice(("欧阳", "诸葛"))) + "".join(self.r.choice(_HAN_GIVEN) for _ in range(self.r.choice((1, 2, 2))))
+
+    def W(self) -> str:
+        return self.r.choice(NOUNS).capitalize()
 
     def L(self) -> str:
-        return self.r.choice(_PLACES)
+        return self.r.choice(_PLACES) if self.r.random() < 0.4 else self.r.choice(_HEADS) + self.r.choice(PLACE_ENDS)
 
     def O(self) -> str:  # noqa: E743
-        return self.r.choice(_ORGS)
+        return self.r.choice(_ORGS) if self.r.random() < 0.4 else f"{self.L()} {self.r.choice(_ORGS).split()[-1]}"
 
     def E(self) -> str:
         r = self.r
@@ -283,7 +410,7 @@ class _Fill:
         return f"{r.choice(['Calle del Olmo', 'Plaza del Pozo', 'Calle Mayor', 'Avenida del Mar', 'Camino de la Fuente'])} {r.randint(1, 250)}{r.choice(['', ', bajo', ', 2º B', ', 3º A'])}, {self.digits(5)} {r.choice(_PLACES)}"
 
 
-_TYPES = {"N": "person_name", "E": "email", "P": "phone", "I": "id_number", "S": "street_address", "D": "street_address", "F": "street_address", "C": "street_address"}
+_TYPES = {"N": "person_name", "H": "person_name", "E": "email", "P": "phone", "I": "id_number", "S": "street_address", "D": "street_address", "F": "street_address", "C": "street_address"}
 
 
 def rows(copies: int = 7, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -291,6 +418,7 @@ def rows(copies: int = 7, seed: int = 5) -> list[tuple[str, list[tuple[int, int,
     fill = _Fill(seed)
     out = []
     for template in TEMPLATES:
+        template = template.replace("⏎", "\n")
         slots = re.findall(r"\{([A-Za-z])\}", template)
         for _ in range((copies * 4 if 'P' in slots else copies * 2 if 'E' in slots else copies) if any(s in _TYPES for s in slots) else 2):
             text, spans, at = "", [], 0

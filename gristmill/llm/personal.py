@@ -30,7 +30,7 @@ LONGEST = 96
 #: Weight of the single tokens' likelihood beside the field's.
 ALONE = 0.25
 
-TOKEN = re.compile(r"\d+|[^\W\d_]+|\n|[^\w\s]|_")
+TOKEN = re.compile(rf"\d+|[{lex.HAN}]|[^\W\d_{lex.HAN}]+|\n|[^\w\s]|_")
 _STREET = frozenset("street st road rd avenue ave drive lane close row court terrace way straße strasse str weg gasse allee platz rue chemin avenue place impasse calle plaza avenida camino".split())
 _NUMBER = frozenset("zero one two three four five six seven eight nine".split())
 _ENDINGS = ("straße", "strasse", "weg", "gasse", "allee", "platz", "str")
@@ -61,6 +61,10 @@ def features(t: str, vocab: frozenset[str] | None) -> tuple[str, ...]:
             out.append("w:" + low)
         if t[0].isupper() and low.capitalize() in labelled_pii.GIVEN:
             out.append("given")
+        if len(low) > 5 and t[0].isupper() and low.endswith(labelled_pii.PLACE_ENDS):
+            out.append("place_end")
+        if t in labelled_pii.HAN_SURNAMES:
+            out.append("han_surname")
         if low in _STREET:
             out.append("street")
         elif len(low) > 5 and low.endswith(_ENDINGS):
@@ -240,10 +244,10 @@ def trained(steps: int = 260) -> Tagger:
         for w, y in zip(tokens, labels):
             if w.isalpha():
                 # words inside names, hosts and places must not be learnt by heart
-                if y in (9, 10) or w in labelled_pii._PLACES or w in labelled_pii._SURNAMES:
+                if y in (9, 10) or w in labelled_pii._PLACES or w.endswith(labelled_pii.PLACE_ENDS) and w[0].isupper() and len(w) > 5 or w.lower() in labelled_pii.NOUNS or w in labelled_pii._SURNAMES:
                     names.add(w.lower())
                 counts[w.lower()] = counts.get(w.lower(), 0) + 1
-    drop = names | {w.lower() for w in labelled_pii._PLACES + labelled_pii._SURNAMES} | {g.lower() for g in labelled_pii.GIVEN} | set("willow lantern kiln saddler tanner orchard ferry alder quarry beacon mill elm".split())
+    drop = names | {w.lower() for w in labelled_pii._PLACES + labelled_pii._SURNAMES} | {g.lower() for g in (*labelled_pii.GIVEN, *labelled_pii._OTHER_GIVEN)} | set("willow lantern kiln saddler tanner orchard ferry alder quarry beacon mill elm".split())
     vocab = frozenset(w for w, c in counts.items() if c > 1 and w not in drop)
     feats: dict[str, int] = {}
     keys: dict[tuple, int] = {(): 0}
@@ -326,7 +330,7 @@ _SHAPES = {
     "phone": re.compile(r"[+(]?[\d\s()+./,;-]*(?:(?:zero|one|two|three|four|five|six|seven|eight|nine)[\s,-]*){0,16}[\d\s()+./-]*(?:ext\.?\s*\d+)?", re.I),
     "id_number": re.compile(r"[A-Z0-9](?:[A-Z0-9]|[ \n/.-](?=[A-Z0-9]))*", re.I),
     "street_address": re.compile(r"[^|»;:@<>=\[\]{}]+"),
-    "person_name": re.compile(r"[^\W\d_][\w.'’\s-]*"),
+    "person_name": re.compile(r"[^\W\d_][\w.,'’·\s-]*"),
 }
 _LIMITS = {"email": 100, "phone": 80, "id_number": 24, "street_address": 100, "person_name": 60}
 
@@ -347,8 +351,8 @@ def plausible(kind: str, text: str, before: str = "") -> bool:
     if kind == "street_address":
         return digits >= 1 and any((w.lower() in _STREET and not w.islower()) or w in _ROMANCE or len(w) > 5 and w.lower().endswith(_ENDINGS) or w == "Am" for w in ws)
     if kind == "person_name":
-        named = bool(ws) and (ws[0].capitalize() in labelled_pii.GIVEN) and len(ws) >= 2 or bool(_TITLE.search(before))
-        return named and not digits and (ws[0][0].isupper())
+        # which words are a name is for the field to say; here only their form counts
+        return 0 < len(ws) <= 6 and max(map(len, ws)) > 1 and len(set(low)) * 2 > len(low) and not digits and not ws[0][0].islower() and not re.search(r"[^\S\n]{2}|\t", text)
     return True
 
 

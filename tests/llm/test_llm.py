@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.llm import abuse, leaks, lex, main_body, near_duplicates, packing, personal, prose, repetition, stuffing, tokens
+from gristmill.llm import abuse, labelled_pii, leaks, lex, main_body, near_duplicates, packing, personal, prose, repetition, stuffing, tokens
 
 SCHEMA = "rec_id bigint, text string, url string, source string, _detected_lang string, segment string, n int, key string, id string, bucket int, doc_id bigint"
 PROSE = "The old boat stood beside the quay, and nobody at the museum had ever seen such a quiet harbour in the winter. "
@@ -176,6 +176,23 @@ def test_personal(spark):
     assert personal.masked_texts(df).count() == df.count() and personal.personal_types(df.limit(0)).count() == 0
 
 
+def test_names_that_are_not_listed():
+    given = "Zebulon Thessaly Ephraim Ottilie Casimir Yolanda Fergus Marisol Ludovic Perpetua Tadeusz Xiomara Barnaby Seraphina Evander Nkechi Oisín Rosalind Wendell Zsófia".split()
+    surnames = "Ashgrove Trevelyan Kowalczyk Penhaligon Delacroix Oyelaran Bergqvist Marchetti Szabo Hollis".split()
+    assert not {*given} & {*labelled_pii.GIVEN, *labelled_pii._OTHER_GIVEN} and not {*surnames} & {*labelled_pii._SURNAMES}
+    places = ["Sincerely, {}", "My name is {} and I live here.", "The seller, {}, waited.", "Posted by {} on a rainy day.", "Ich heiße {} und wohne hier.", "Je m'appelle {} et j'écris."]
+
+    def recall(names, places):
+        got = personal.mask(personal.trained(), [p.format(n) for p in places for n in names])
+        return np.mean([a == p.format("[NAME]") for a, (p, n) in zip(got, [(p, n) for p in places for n in names])])
+
+    assert recall([f"{g} {surnames[i % 10]}" for i, g in enumerate(given)], places) >= 0.9
+    assert recall([f"{g[0]}. {surnames[i % 10]}" for i, g in enumerate(given)], places) >= 0.8
+    assert recall(["王小明", "李建国", "赵雅婷"], ["联系人：{}", "我叫{}，住在这里。", "{}先生住在河边。"]) >= 0.8
+    plain = ["The Kelmark Laboratory gave 300 coins.", "Narrow Harbour In Westmoor", "两周以前，工程师听到钟声。", "Home | News | Shop | All Kettles"]
+    assert personal.mask(personal.trained(), plain) == plain
+
+
 def test_viterbi_equals_brute_force():
     import itertools
 
