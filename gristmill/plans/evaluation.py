@@ -196,5 +196,5 @@ def golden_verdicts(spark, sf):
 def quality_classifier(spark, sf):
     """Scores of a learned classifier (words and pairs of words, logistic regression) for every row."""
     g = spread(table(spark, sf, "gen1_output").select("rec_id", "text"), "rec_id")
-    model = clf.train(g.join(clf.labels(table(spark, sf, "llm_labels")), "rec_id"))
+    model = clf.train(g.join(F.broadcast(clf.labels(table(spark, sf, "llm_labels"))), "rec_id"))  # 20,000 labels at most
     return clf.score(model, g).select("rec_id", F.round("score", 4).alias("score"))

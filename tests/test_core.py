@@ -141,3 +141,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = {r["doc_id"]: r["reason"] for r in spark.table("reasons").collect()}
     assert got == {r["doc_id"]: r["reason"] for r in cascade.annotated(df).collect()}
+
+
+def test_quality_classifier_reads_whole_texts(spark):
+    from gristmill.scorers import quality as clf
+
+    head = "word " * 600
+    rows = [(i, head + ("careful study evidence" if i % 2 else "cheap casino pills"), float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "rec_id bigint, text string, label double")
+    s = {r["rec_id"]: r["score"] for r in clf.score(clf.train(df), df).select("rec_id", "score").collect()}
+    assert min(s[i] for i in s if i % 2) > 0.5 > max(s[i] for i in s if i % 2 == 0)
+    labels = spark.createDataFrame([(i, 3) for i in range(200)], "rec_id bigint, llm_score int")
+    picked = {r["rec_id"] for r in clf.labels(labels, limit=20).collect()}
+    assert len(picked) == 20 and picked != set(range(20))
