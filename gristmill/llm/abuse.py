@@ -31,7 +31,6 @@ MAX_LABELLED = 5_000
 #: Bound of the texts that a loose score calls harmless, used as background.
 MAX_BACKGROUND = 500
 THRESHOLD = 0.85
-HOT = 0.25
 #: Labels of page navigation that speak to the reader.
 _LABELS = re.compile(r"you are here ?:|you may also like|you have \d+ free articles left")
 
@@ -64,8 +63,6 @@ class Model:
     def __init__(self, rows: dict[int, int], w: np.ndarray, v: np.ndarray, w0: float, masked: dict[int, list[str]]):
         self.rows, self.w, self.v, self.w0, self.masked = rows, w, v, w0, masked
         self.cache = _Rows(rows)
-        # windows without a term that weighs this much by itself are not looked at
-        self.hot = w + 0.5 * (v * v).sum(axis=1) >= HOT
         self.unmasked: dict[str, str] = {}
 
     def unmask(self, token: str) -> str:
@@ -151,17 +148,18 @@ class Model:
         doc = np.repeat(np.arange(len(docs)), lengths)
         known = np.flatnonzero(flat)
         best[lengths > 0] = self.w0
-        hot = np.flatnonzero(self.hot[flat])
-        if len(hot):  # terms less than a window away from a heavy one
-            after = np.searchsorted(hot, known)
-            near = np.minimum(np.abs(known - hot[np.maximum(after - 1, 0)]), np.abs(hot[np.minimum(after, len(hot) - 1)] - known))
-            known = known[near < width]
-        if not len(known) or not len(hot):
+        if not len(known):
             return best
         # Only windows that end at a term of the model can be the best one. Walk back over the
         # model's terms before it; a term counts once, however often a window holds it.
         terms = flat[known]
         at = doc[known]
+        # where the same term comes next in its text
+        key = at * len(self.w) + terms
+        order = np.argsort(key, kind="stable")
+        again = np.full(len(known), len(known))
+        same = key[order][1:] == key[order][:-1]
+        again[order[:-1][same]] = order[1:][same]
         total = self.w0 + self.w[terms]
         s1 = self.v[terms].copy()
         s2 = s1 * s1
@@ -173,11 +171,8 @@ class Model:
             # the window that ends before this term, if it is not too short to tell
             full = live[known[live] - known[live - k] >= SHORTEST]
             top[full] = np.maximum(top[full], total[full] + 0.5 * (s1[full] ** 2 - s2[full]).sum(axis=1))
+            live = live[again[live - k] > live]
             r = terms[live - k]
-            fresh = np.ones(len(live), bool)
-            for j in range(k):
-                fresh &= terms[live - j] != r
-            live, r = live[fresh], r[fresh]
             total[live] += self.w[r]
             vv = self.v[r]
             s1[live] += vv

@@ -148,6 +148,33 @@ def test_abuse(spark, machine):
     assert abuse.abuse_scores(df.limit(0), machine).count() == 0
 
 
+def test_windows_of_light_terms_count():
+    r = np.random.default_rng(6)
+    names = [f"t{i}" for i in range(30)]
+    v = np.zeros((31, abuse.RANK))
+    v[1:7, 0] = 0.35**0.5  # six terms that weigh little alone and much together
+    v[7:] = r.normal(0, 0.3, (24, abuse.RANK))
+    w = np.concatenate([[0], np.full(6, 0.05), r.normal(0, 0.5, 24)])
+    model = abuse.Model({abuse.term(x): i for i, x in enumerate(names, 1)}, w, v, -1.0, {})
+    docs = [names[:6], ["x"] * 5, []] + [[str(x) for x in r.choice([*names, "x", "y"], r.integers(1, 40))] for _ in range(60)]
+
+    def brute(d):
+        rows = [model.cache[x] for x in d]
+        best = model.w0 if d else -np.inf
+        for e in range(len(d)):
+            if rows[e]:
+                for b in range(max(0, e - abuse.WINDOW + 1), e + 1):
+                    before = next((j for j in range(b - 1, -1, -1) if rows[j]), -99)
+                    if rows[b] and (e - before >= abuse.SHORTEST):
+                        t = sorted({x for x in rows[b : e + 1] if x})
+                        best = max(best, model.w0 + w[t].sum() + 0.5 * (v[t].sum(axis=0) ** 2 - (v[t] ** 2).sum(axis=0)).sum())
+        return best
+
+    got = model.window_scores(docs)
+    assert got[0] == pytest.approx(-1 + 0.3 + 15 * 0.35)
+    assert got == pytest.approx(np.array([brute(d) for d in docs]))
+
+
 def test_repetition(spark):
     r = random.Random(5)
     loop = " ".join(words(r, 8)) + " "
