@@ -138,8 +138,7 @@ def p9_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _p10(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return stuffing.stuffed_pages(docs, stuffing.prose_model(docs))
+    return stuffing.stuffed_pages(table(spark, sf, "documents"))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,6 +150,11 @@ def p10_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return _p10(spark, sf).select("doc_id", F.round("log_perplexity", 4).alias("log_perplexity"), F.round("stuffed_share", 4).alias("stuffed_share"))
 
 
+def p10_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Usual perplexities of prose, and how many stuffed pages lie among them."""
+    return stuffing.excluded(table(spark, sf, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 

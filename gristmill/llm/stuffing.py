@@ -2,10 +2,11 @@
 
 A text becomes a sequence of classes: function words and punctuation marks stand for
 themselves, other words for what they look like. A trigram model of such sequences is
-trained on prose (a bounded sample); texts whose perplexity under it is abnormally high or
-low, that is outside of the range of the training texts, are candidates. For them the words
-are counted that stand in links, link labels, hashtags, product tags and search keywords,
-repeated keywords included; a text of which these are most words is flagged.
+counted over all texts that read as prose and gives the perplexity of every text. In every
+text the words are counted that stand in links, link labels, hashtags, product tags and
+search keywords, repeated keywords included; a text of which these are most words is
+flagged, whatever its perplexity, as stuffed pages of ordinary sentences look normal to the
+model. ``normal_range`` tells which perplexities are usual for prose.
 """
 from __future__ import annotations
 
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import lex, prose
+from gristmill.operators.components import checkpointed
 from gristmill.sources.tables import spread
 
-#: Bound of the sample of prose that the model is trained on, and the share of it left out on each side of the normal range.
-MAX_PROSE, TAIL = 1_500, 0.15
+#: Share of the prose left out on each side of the normal range.
+TAIL = 0.15
 MIN_SHARE = 0.5
 BUCKETS = 1 << 20
 
@@ -87,40 +89,32 @@ def _keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two.astype(np.int64), three.astype(np.int64)
 
 
+def sequence(cache: _Classes, text: str) -> np.ndarray:
+    pairs = np.array([(0, 0), (1, 0), *[cache[w] for w in TOKEN.findall(text)]], dtype=np.int64)
+    ids, word = pairs[:, 0].copy(), pairs[:, 1]
+    again = np.zeros(len(word), bool)
+    for k in range(1, min(RECENT, len(word) - 1) + 1):
+        again[k:] |= word[k:] == word[:-k]
+    ids[again & (word != 0)] = _KNOWN["<again>"]
+    return ids
+
+
 class Model:
-    """Interpolated trigram model of class sequences, and the range of normal perplexities."""
+    """Interpolated trigram model of class sequences, from counts by table and place."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, table: np.ndarray, place: np.ndarray, count: np.ndarray):
         n = len(_KNOWN) + 2
-        self.classes = _Classes()
-        seqs = [self.sequence(t) for t in texts if t]
-        self.c1 = np.ones(n)
-        self.c2 = np.full((n, n), 0.02)
-        self.pair = np.zeros(BUCKETS, np.float32)
-        self.triple = np.zeros(BUCKETS, np.float32)
-        for s in seqs:
-            self.c1 += np.bincount(s[2:], minlength=n)
-            np.add.at(self.c2, (s[1:-1], s[2:]), 1)
-            two, three = _keys(s)
-            np.add.at(self.pair, two, 1)
-            np.add.at(self.triple, three, 1)
+        made = []
+        for k, size in enumerate((n, n * n, BUCKETS, BUCKETS)):
+            x = np.zeros(size)
+            x[place[table == k]] = count[table == k]
+            made.append(x)
+        self.c1 = made[0] + 1
         self.c1 /= self.c1.sum()
+        self.c2 = made[1].reshape(n, n) + 0.02
         self.c2 /= self.c2.sum(axis=1, keepdims=True)
-        # a training text is scored by the others: its own count taken away
-        scores = np.array([self.log_perplexity(s, 1.0) for s in seqs if len(s) > 40]) if seqs else np.array([0.0, 10.0])
-        if not len(scores):
-            scores = np.array([0.0, 10.0])
-        self.low, self.high = (float(x) for x in np.quantile(scores, [TAIL, 1 - TAIL]))
-
-    def sequence(self, text: str) -> np.ndarray:
-        cache = self.classes
-        pairs = np.array([(0, 0), (1, 0), *[cache[w] for w in TOKEN.findall(text)]], dtype=np.int64)
-        ids, word = pairs[:, 0].copy(), pairs[:, 1]
-        again = np.zeros(len(word), bool)
-        for k in range(1, min(RECENT, len(word) - 1) + 1):
-            again[k:] |= word[k:] == word[:-k]
-        ids[again & (word != 0)] = _KNOWN["<again>"]
-        return ids
+        # counts of a large corpus are beyond what 32 bits hold exactly
+        self.pair, self.triple = made[2], made[3]
 
     def log_perplexity(self, s: np.ndarray, less: float = 0.0) -> float:
         """Mean negative log-probability of a class; ``less`` is what each count is lowered by."""
@@ -131,10 +125,6 @@ class Model:
         p = 0.6 * p3 + 0.3 * self.c2[s[1:-1], s[2:]] + 0.1 * self.c1[s[2:]]
         return float(-np.log(p).mean())
 
-    def abnormal(self, text: str) -> tuple[float, bool]:
-        p = self.log_perplexity(self.sequence(text))
-        return p, bool(p < self.low or p > self.high)
-
 
 def _is_keyword_segment(ws: list[str]) -> bool:
     """A few words without the grammar of a sentence that name something to be found."""
@@ -205,27 +195,85 @@ def stuffed_share(text: str) -> float:
     return bad / max(1, total)
 
 
-def _pages(model: Model):
+def _read(pdfs):
+    cache = _Classes()
+    for pdf in pdfs:
+        yield pd.DataFrame({
+            "doc_id": pdf["doc_id"], "ids": [sequence(cache, t).astype(np.uint16).tobytes() for t in pdf["text"]],
+            "is_prose": [bool(t) and prose.verdict(prose.statistics(t)[1]) == "prose" for t in pdf["text"]], "stuffed_share": [stuffed_share(t) for t in pdf["text"]],
+        })
+
+
+def _counts(pdfs):
+    n = len(_KNOWN) + 2
+    sums = [np.zeros(size, np.int64) for size in (n, n * n, BUCKETS, BUCKETS)]
+    for pdf in pdfs:
+        for ids in pdf["ids"]:
+            s = np.frombuffer(ids, np.uint16).astype(np.int64)
+            for x, at in zip(sums, (s[2:], s[1:-1] * n + s[2:], *_keys(s))):
+                np.add.at(x, at, 1)
+    for k, x in enumerate(sums):
+        at = np.flatnonzero(x)
+        yield pd.DataFrame({"t": np.full(len(at), k, np.int32), "place": at, "n": x[at]})
+
+
+def _scored(model: Model):
     def run(pdfs):
         for pdf in pdfs:
-            scored = [model.abnormal(t) for t in pdf["text"]]
-            share = [stuffed_share(t) if odd else 0.0 for t, (_, odd) in zip(pdf["text"], scored)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "log_perplexity": [p for p, _ in scored], "stuffed_share": share, "is_stuffed": [s >= MIN_SHARE for s in share]})
+            seqs = [np.frombuffer(ids, np.uint16).astype(np.int64) for ids in pdf["ids"]]
+            # prose is scored by the rest of the corpus too: its own count taken away
+            rest = [round(model.log_perplexity(s, 1.0), 4) if p and len(s) > 40 else None for s, p in zip(seqs, pdf["is_prose"])]
+            share = pdf["stuffed_share"]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "log_perplexity": [model.log_perplexity(s) for s in seqs], "stuffed_share": share, "is_stuffed": share >= MIN_SHARE, "by_the_rest": pd.Series(rest, dtype=float)})
 
     return run
 
 
-def prose_model(docs: DataFrame, limit: int = MAX_PROSE) -> Model:
-    """The model of those of at most ``limit`` rows of ``docs (doc_id, text)``, by hash, that read as prose."""
-    texts = lex.sampled_texts(docs.where("text IS NOT NULL AND length(text) BETWEEN 200 AND 20000"), "doc_id", "text", limit)
-    return Model([t for t in texts if prose.verdict(prose.statistics(t)[1]) == "prose"])
+def read_pages(docs: DataFrame) -> DataFrame:
+    """``doc_id``, class sequence, whether it reads as prose, and ``stuffed_share`` of every row of ``(doc_id, text)``."""
+    rows = spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    return rows.mapInPandas(_read, "doc_id bigint, ids binary, is_prose boolean, stuffed_share double")
+
+
+def counted(pages: DataFrame) -> Model:
+    """The model of all pages that read as prose; the driver gets its counts, at most one number a bucket."""
+    c = pages.where("is_prose").select("ids").mapInPandas(_counts, "t int, place bigint, n bigint").groupBy("t", "place").agg(F.sum("n").alias("n")).toPandas()
+    return Model(c["t"].to_numpy(), c["place"].to_numpy(dtype=np.int64), c["n"].to_numpy(dtype=float))
+
 
+def scored(pages: DataFrame, model: Model) -> DataFrame:
+    return pages.mapInPandas(_scored(model), "doc_id bigint, log_perplexity double, stuffed_share double, is_stuffed boolean, by_the_rest double")
 
-def stuffed_pages(docs: DataFrame, model: Model) -> DataFrame:
+
+def normal_range(rows: DataFrame) -> DataFrame:
+    """``low, high, n_stuffed, n_inside`` of ``scored`` rows: usual perplexities of prose, stuffed pages, and those of them in that range."""
+    cut = rows.agg(F.percentile("by_the_rest", F.array(F.lit(TAIL), F.lit(1 - TAIL))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    inside = F.coalesce(F.col("is_stuffed") & F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
+    return rows.crossJoin(F.broadcast(cut)).groupBy("low", "high").agg(F.count_if("is_stuffed").alias("n_stuffed"), F.count_if(inside).alias("n_inside"))  # one row
+
+
+def prose_model(docs: DataFrame) -> Model:
+    """The model of all rows of ``docs (doc_id, text)`` that read as prose."""
+    return counted(read_pages(docs))
+
+
+def stuffed_pages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, log_perplexity, stuffed_share, is_stuffed`` of every row of ``(doc_id, text)``.
 
-    The share is counted for candidates and 0 for others; null and empty texts have a
-    perplexity of 0 words and are not flagged.
+    Null and empty texts have a perplexity of 0 words and are not flagged. Without a
+    model that of ``docs`` is counted, from texts read once.
     """
-    rows = spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
-    return rows.mapInPandas(_pages(model), "doc_id bigint, log_perplexity double, stuffed_share double, is_stuffed boolean")
+    return _all(docs, model).drop("by_the_rest")
+
+
+def _all(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    pages = read_pages(docs)
+    if model is None:
+        pages = checkpointed(pages)
+        model = counted(pages)
+    return scored(pages, model)
+
+
+def excluded(docs: DataFrame) -> DataFrame:
+    """How many of the stuffed pages of ``(doc_id, text)`` have a perplexity that is usual for prose."""
+    return normal_range(checkpointed(_all(docs)))

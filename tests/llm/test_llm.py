@@ -286,3 +286,21 @@ def test_stuffed_pages(spark):
     got = {x["doc_id"] for x in stuffing.stuffed_pages(df, stuffing.prose_model(df)).where("is_stuffed").collect()}
     assert got == {70, 71, 72}
     assert stuffing.stuffed_pages(df.limit(0), stuffing.prose_model(df.limit(0))).count() == 0
+
+
+def test_stuffed_pages_of_usual_perplexity(spark):
+    r = random.Random(9)
+    nouns = "boat quay museum harbour winter bell gate road tower bridge".split()
+    texts = [" ".join(f"The {r.choice(nouns)} of the {r.choice(nouns)} was moved by the {r.choice(nouns)}, and nobody in the {r.choice(nouns)} had seen it." for _ in range(25)) for _ in range(40)]
+    texts += [" ".join(f"The cheap kettle of the {r.choice(nouns)} was moved, and the cheap kettle is the best cheap kettle." for _ in range(25)) for _ in range(40)]
+    df = frame(spark, texts)
+    rows = stuffing.stuffed_pages(df).collect()
+    share = {x["doc_id"]: x["stuffed_share"] for x in rows}
+    assert len(rows) == df.count() and all(share[10 + i] == stuffing.stuffed_share(t) for i, t in enumerate(texts))
+    assert {x["doc_id"] for x in rows if x["is_stuffed"]} == set(range(50, 90))
+    n = stuffing.excluded(df).first()
+    assert n["n_stuffed"] == 40 and n["n_inside"] > 0
+    # counted over all prose, not a sample of it
+    model = stuffing.prose_model(df)
+    pages = stuffing.read_pages(df).where("is_prose").collect()
+    assert model.pair.sum() == sum(len(x["ids"]) // 2 - 2 for x in pages) and model.triple.sum() == model.pair.sum()
