@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
-from gristmill.operators import ngrams, quality
+from gristmill.operators import dedup, ngrams, pii, quality
 
 STEPS = ("lang", "quality", "repetition")
 
@@ -36,6 +36,28 @@ def annotated(df: DataFrame, text_col: str = "text", lang_col: str = "lang", tar
     return df.withColumn("reason", F.coalesce("_early", F.when(F.col("_grams").isNotNull(), F.concat(F.lit("repetition:"), r)))).drop("_early", "_j", "_grams")
 
 
+def whole(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", url_col: str = "url", toxicity_col: str = "_toxicity_score", toxic: float = 0.85) -> DataFrame:
+    """``df`` with ``reason`` and ``masked_text``, through copies of an address, its filter, language, quality, repetition, density of personal information and toxicity.
+
+    The steps by address and by toxicity are left out where ``df`` lacks their column.
+    A kept row has its text masked, a dropped one null. Ids must be unique.
+    """
+    early = F.lit(None).cast("string")
+    if url_col in df.columns:
+        first = dedup.representatives(df, dedup.url_key(F.col(url_col), F.col(text_col)), id_col).select(id_col, F.lit(True).alias("_first"))
+        df = df.join(first, id_col, "left")
+        early = F.when(F.col("_first").isNull(), "url_dedup:copy").otherwise(F.concat(F.lit("url_filter:"), quality.url(F.col(url_col))))
+    df = df.withColumn("_url", early)
+    # without a language later steps don't look at the text
+    df = annotated(df.withColumn("_lang", F.when(F.col("_url").isNull(), F.col(lang_col))), text_col, "_lang").withColumn("reason", F.coalesce("_url", "reason"))
+    df = pii.masked(df.withColumn("_text", F.when(F.col("reason").isNull(), F.col(text_col))), "_text")
+    late = [F.when(F.col("pii_action").startswith("filtered"), F.concat(F.lit("pii_density:"), F.col("pii_action")))]
+    if toxicity_col in df.columns:
+        late.append(F.when(F.col(toxicity_col) >= toxic, "toxicity:score"))
+    df = df.withColumn("reason", F.coalesce("reason", *late)).withColumn("masked_text", F.when(F.col("reason").isNull(), F.col("masked_text")))
+    return df.drop("_first", "_url", "_lang", "_text")
+
+
 def step_statistics(df: DataFrame) -> DataFrame:
     """``step, before, after, filtered, filter_rate`` from the reasons, in one pass."""
     step = F.split_part("reason", F.lit(":"), F.lit(1))

@@ -131,6 +131,12 @@ def gen1_cascade_counts(spark, sf):
     return _cascade(spark, sf).groupBy(part(1).alias("step"), part(2).alias("category")).agg(F.count("*").alias("n"))
 
 
+@query()
+def gen1_full_cascade(spark, sf):
+    """The first step that drops every document, those by address and personal information included, and the masked text of what stays."""
+    return cascade.whole(docs(spark, sf, "text", "lang", "url")).select("doc_id", "reason", "masked_text", "n_pii")
+
+
 @query(f"""WITH {_CASCADE}, s AS (SELECT 1 AS k, 'lang' AS step, count(*) AS before, count(*) FILTER (reason LIKE 'lang:%') AS filtered FROM cas
  UNION ALL SELECT 2, 'quality', count(*) FILTER (reason IS NULL OR reason NOT LIKE 'lang:%'), count(*) FILTER (reason LIKE 'quality:%') FROM cas
  UNION ALL SELECT 3, 'repetition', count(*) FILTER (reason IS NULL OR reason LIKE 'repetition:%'), count(*) FILTER (reason LIKE 'repetition:%') FROM cas)

@@ -154,3 +154,19 @@ def test_quality_classifier_reads_whole_texts(spark):
     labels = spark.createDataFrame([(i, 3) for i in range(200)], "rec_id bigint, llm_score int")
     picked = {r["rec_id"] for r in clf.labels(labels, limit=20).collect()}
     assert len(picked) == 20 and picked != set(range(20))
+
+
+def test_whole_cascade(spark):
+    good = "\n".join([
+        "The old boat stood beside the quay, and nobody at the museum had ever seen such a quiet harbour in the winter.", "Then a painter came from the north with two bags of brushes and asked for a room above the bakery.",
+        "She stayed until spring, when the ice had gone and the first ships could leave for the islands again.", "Her pictures hang in the town hall today, although few of those who pass by know where they come from.",
+        "One of them shows the lighthouse keeper with his dog, looking at a storm that has not yet begun.",
+    ])
+    rows = [(1, good + " Write to a.b@c.org now.", "en", "http://a.org/x", 0.1), (2, good + " More of it here.", "en", "http://a.org/x", 0.1), (3, good, "en", "http://casino.org/y", 0.1), (4, good + " So be it.", "en", None, 0.1), (5, good + " End of it.", "en", "http://a.org/z", 0.9), (6, good, "de", "http://a.org/w", 0.1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, url string, _toxicity_score double")
+    base = {r["doc_id"]: r["reason"] for r in cascade.annotated(df).collect()}
+    assert base[1] is None
+    got = {r["doc_id"]: r for r in cascade.whole(df).collect()}
+    assert len(got) == 6 and got[1]["reason"] is None and "[EMAIL]" in got[1]["masked_text"] and "a.b@c.org" not in got[1]["masked_text"]
+    assert [got[i]["reason"].split(":")[0] for i in (2, 3, 4, 5, 6)] == ["url_dedup", "url_filter", "url_filter", "toxicity", "lang"]
+    assert {r["doc_id"]: r["reason"] for r in cascade.whole(df.drop("url", "_toxicity_score")).collect()} == base
