@@ -170,3 +170,21 @@ def test_whole_cascade(spark):
     assert len(got) == 6 and got[1]["reason"] is None and "[EMAIL]" in got[1]["masked_text"] and "a.b@c.org" not in got[1]["masked_text"]
     assert [got[i]["reason"].split(":")[0] for i in (2, 3, 4, 5, 6)] == ["url_dedup", "url_filter", "url_filter", "toxicity", "lang"]
     assert {r["doc_id"]: r["reason"] for r in cascade.whole(df.drop("url", "_toxicity_score")).collect()} == base
+
+
+def test_dense_bands_find_links_at_the_threshold(spark):
+    import random
+
+    from gristmill.plans import catalog
+
+    assert "minhash_clusters_dense" in catalog.queries()
+    r = random.Random(3)
+    rows = []
+    for i in range(30):
+        sig = [r.randrange(1 << 32) for _ in range(128)]
+        other = list(sig)
+        for k in r.sample(range(128), 25):
+            other[k] = r.randrange(1 << 32)
+        rows += [(2 * i, sig), (2 * i + 1, other)]
+    sigs = spark.createDataFrame(rows, "id bigint, sig array<bigint>")
+    assert {(x["a"], x["b"]) for x in minhash.similar_pairs(sigs, bands=32).collect()} == {(2 * i, 2 * i + 1) for i in range(30)}
