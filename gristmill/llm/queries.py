@@ -146,13 +146,8 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_perplexity(spark: SparkSession, sf: str) -> DataFrame:
-    """Perplexity and share of stuffed words of every document."""
-    return _p10(spark, sf).select("doc_id", F.round("log_perplexity", 4).alias("log_perplexity"), F.round("stuffed_share", 4).alias("stuffed_share"))
-
-
-def p10_range(spark: SparkSession, sf: str) -> DataFrame:
-    """Usual perplexities of prose, and how many stuffed pages lie among them."""
-    return stuffing.excluded(table(spark, sf, "documents"))
+    """Mean log-perplexity and share of abnormal windows of every document."""
+    return _p10(spark, sf).select("doc_id", F.round("log_perplexity", 4).alias("log_perplexity"), F.round("abnormal_share", 4).alias("abnormal_share"))
 
 
 def queries() -> dict:

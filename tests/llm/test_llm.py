@@ -274,33 +274,49 @@ def test_suffix_array():
         assert sorted(a.order[x:y].tolist()) == want
 
 
-def test_stuffed_pages(spark):
+NOUNS = "boat quay museum harbour winter bell gate road tower bridge lantern meadow orchard cellar violin kettle saddle anchor ladder basket".split()
+
+
+def prose_pages(r, n):
+    say = ["The {} of the {} was moved by the {}, and nobody in the {} had seen it.", "When we came to the {}, a {} stood there and the {} was gone.", "It is not clear why the {} should have been under the {} for so many years.", "She gave them {} and {} after the {} had closed."]
+    return ["\n".join(" ".join(r.choice(say).format(*(r.choice(NOUNS) for _ in range(4))) for _ in range(6)) for _ in range(4)) for _ in range(n)]
+
+
+def stuffed(r):
+    links = "\n".join(f"[{r.choice(NOUNS)} buy](http://a{i}.example/x)" for i in range(30))
+    keywords = ", ".join(f"velvet kettle {r.choice(NOUNS)}town" for _ in range(60))
+    tags = " ".join(f"#own{r.choice(NOUNS)}{i}" for i in range(50))
+    turned = " ".join("Looking for a velvet kettle? Every velvet kettle is the velvet kettle you want." for _ in range(25))
+    polish = ", ".join(f"tani czajnik {r.choice(NOUNS)}owo" for _ in range(60))
+    return [links, keywords, tags, turned, polish]
+
+
+def test_stuffed_pages(spark, monkeypatch):
     r = random.Random(8)
-    nouns = "boat quay museum harbour winter bell gate road tower bridge".split()
-    prose_texts = [" ".join(f"The {r.choice(nouns)} of the {r.choice(nouns)} was moved by the {r.choice(nouns)}, and nobody in the {r.choice(nouns)} had seen it." for _ in range(25)) for _ in range(60)]
-    links = "\n".join(f"[{r.choice(nouns)} buy](http://a{i}.example/x)" for i in range(30))
-    keywords = ", ".join(f"cheap {r.choice(nouns)} online" for _ in range(60))
-    tags = " ".join(f"#buy{r.choice(nouns)}" for _ in range(50))
-    recipe = "\n".join(f"{r.randint(1, 900)} ml {r.choice(nouns)} {r.choice(nouns)} {i}" for i in range(30))
-    df = frame(spark, prose_texts + [links, keywords, tags, recipe])
-    got = {x["doc_id"] for x in stuffing.stuffed_pages(df, stuffing.prose_model(df)).where("is_stuffed").collect()}
-    assert got == {70, 71, 72}
-    assert stuffing.stuffed_pages(df.limit(0), stuffing.prose_model(df.limit(0))).count() == 0
-
-
-def test_stuffed_pages_of_usual_perplexity(spark):
-    r = random.Random(9)
-    nouns = "boat quay museum harbour winter bell gate road tower bridge".split()
-    texts = [" ".join(f"The {r.choice(nouns)} of the {r.choice(nouns)} was moved by the {r.choice(nouns)}, and nobody in the {r.choice(nouns)} had seen it." for _ in range(25)) for _ in range(40)]
-    texts += [" ".join(f"The cheap kettle of the {r.choice(nouns)} was moved, and the cheap kettle is the best cheap kettle." for _ in range(25)) for _ in range(40)]
-    df = frame(spark, texts)
+    pages = prose_pages(r, 300)
+    recipe = pages[0] + "\n" + "\n".join(f"{r.randint(1, 900)} ml {r.choice(NOUNS)}" for i in range(8)) + "\n" + pages[1]
+    df = frame(spark, pages + [recipe, *stuffed(r)]).cache()
     rows = stuffing.stuffed_pages(df).collect()
-    share = {x["doc_id"]: x["stuffed_share"] for x in rows}
-    assert len(rows) == df.count() and all(share[10 + i] == stuffing.stuffed_share(t) for i, t in enumerate(texts))
-    assert {x["doc_id"] for x in rows if x["is_stuffed"]} == set(range(50, 90))
-    n = stuffing.excluded(df).first()
-    assert n["n_stuffed"] == 40 and n["n_inside"] > 0
-    # counted over all prose, not a sample of it
-    model = stuffing.prose_model(df)
-    pages = stuffing.read_pages(df).where("is_prose").collect()
-    assert model.pair.sum() == sum(len(x["ids"]) // 2 - 2 for x in pages) and model.triple.sum() == model.pair.sum()
+    assert len(rows) == df.count()
+    assert {x["doc_id"] for x in rows if x["is_stuffed"] and x["doc_id"] is not None and x["doc_id"] >= 10} == {311, 312, 313, 314, 315}
+    assert {(x["log_perplexity"], x["abnormal_share"]) for x in rows if x["doc_id"] == 2} == {(0.0, 0.0)}
+    assert stuffing.stuffed_pages(df.limit(0)).count() == 0
+    # the perplexity decides: where every one of them is usual, nothing is flagged
+    monkeypatch.setattr(stuffing, "TAIL", 0.0)
+    monkeypatch.setattr(stuffing, "usual_range", lambda pages, model: {False: (0.0, 99.0), True: (0.0, 99.0)})
+    assert stuffing.stuffed_pages(df).where("is_stuffed").count() == 0
+
+
+def test_stuffed_pages_model_is_of_all_prose(spark):
+    df = frame(spark, prose_pages(random.Random(9), 40))
+    pages = stuffing.read_pages(df)
+    model = stuffing.counted(pages)
+    assert model.pair.sum() == model.triple.sum() == sum(len(x["ids"]) // 2 for x in pages.where("is_prose").collect())
+    # batches of rows don't change the sequences
+    texts = [x["text"] or "" for x in df.select("text").collect()]
+    ids, begin = stuffing.sequences(stuffing._Classes(), texts)
+    for t, a, b in zip(texts, begin[:-1], begin[1:]):
+        assert stuffing.sequences(stuffing._Classes(), [t])[0].tolist() == ids[a:b].tolist()
+    # surprise of a text alone and among others
+    whole = model.surprise(ids, begin)
+    assert np.allclose(whole[begin[6] : begin[7]], model.surprise(ids[begin[6] : begin[7]], np.array([0, begin[7] - begin[6]])))
