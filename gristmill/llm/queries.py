@@ -82,7 +82,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_share(spark: SparkSession, sf: str) -> DataFrame:
     """The repeated share of every row of both tables."""
-    return _p6(spark, sf).select("table_name", "row_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
+    return _p6(spark, sf).select("table_name", "row_id", F.col("n_words").cast("bigint").alias("n_words"), F.round("repeated_share", 6).alias("repeated_share"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

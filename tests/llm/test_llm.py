@@ -60,11 +60,8 @@ def test_bit_sliced_distances():
     sketches[100:] = sketches[:100]
     sketches[100:, 0] ^= 7
     bits = np.unpackbits(sketches, axis=1).astype(int)
-    bucket = np.repeat([1, 2], 100)
     order = r.permutation(200)
-    order = order[np.argsort(bucket[order % 100 // 50], kind="stable")]
-    b = bucket[order % 100 // 50] if False else np.sort(r.integers(0, 3, 200))
-    got = set()
+    b = np.sort(r.integers(0, 3, 200))
     a1, a2 = near_duplicates.bucket_pairs(b, np.zeros(200, int), np.arange(200), sketches[order], radius=50)
     got = set(zip(a1.tolist(), a2.tolist()))
     s = bits[order]
@@ -175,20 +172,50 @@ def test_windows_of_light_terms_count():
     assert got == pytest.approx(np.array([brute(d) for d in docs]))
 
 
-def test_repetition(spark):
+def brute_share(text):
+    w = lex.words(text)
+    grams = list(zip(w, w[1:], w[2:], w[3:]))
+    return len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(4)}) / len(w) if w else 0.0
+
+
+def test_repetition(spark, monkeypatch):
     r = random.Random(5)
-    loop = " ".join(words(r, 8)) + " "
-    texts = [" ".join(words(r, 60)), loop * 6, " ".join(words(r, 60)) + " " + loop * 2]
+    texts = []
+    for _ in range(150):
+        loop = " ".join(words(r, r.randint(4, 9))) + " "
+        texts.append(loop * r.choice([0, 0, 0, 2, 4]) + " ".join(words(r, r.randint(5, 120))) + " " + loop * r.choice([0, 0, 3]))
+    texts = [t for t in texts if not 0.2 < brute_share(t) < 0.4]
     df = frame(spark, texts).select(F.lit("t").alias("table_name"), F.col("rec_id").alias("row_id"), "text", "n")
-    rows = repetition.repetition(df, df.where("row_id = 10")).collect()
+    trusted = df.where("row_id % 3 = 1")
+    rows = repetition.repetition(df, trusted).collect()
     assert len(rows) == df.count()
-    for x in rows:
-        if x["row_id"] in (10, 11, 12):
-            w = lex.words(texts[x["row_id"] - 10])
-            grams = list(zip(w, w[1:], w[2:], w[3:]))
-            cover = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(4)}
-            assert x["repeated_share"] == pytest.approx(len(cover) / len(w)) and x["is_repetitive"] == (len(cover) / len(w) >= 0.3)
+    by = {x["row_id"]: x for x in rows}
+    for i, t in enumerate(texts):
+        x = by[10 + i]
+        assert x["repeated_share"] == pytest.approx(brute_share(t)) and x["is_repetitive"] == (brute_share(t) >= 0.3)
+    assert by[3]["is_repetitive"] and not by[1]["is_repetitive"] and not by[2]["is_repetitive"] and not by[4]["is_repetitive"]
+    # without trusted rows the texts without repeats are the target
+    assert {x["row_id"]: x["is_repetitive"] for x in repetition.repetition(df, df.limit(0)).collect()} == {i: x["is_repetitive"] for i, x in by.items()}
     assert repetition.repetition(df.limit(0), df.limit(0)).count() == 0
+    # the ratio decides: where it tells nothing, nothing is flagged
+    monkeypatch.setattr(repetition, "log_ratios", lambda raw, target: np.ones(len(raw)))
+    monkeypatch.setattr(repetition, "cut_at", lambda raw, ratio, share: 0.5)
+    assert repetition.repetition(df, trusted).where("is_repetitive").count() == 0
+
+
+def test_ratios_are_of_hashed_ngrams():
+    raw = np.zeros(2 * repetition.BUCKETS)
+    raw[[0, 1, 2, 3]] = 50_000, 20_000, 50_000, 20_000
+    target = np.zeros_like(raw)
+    target[[0, 2]] = 900_000, 100_000
+    ratio = repetition.log_ratios(raw, target)
+    # what comes again speaks against the target; of what doesn't, the target's n-grams speak for it
+    assert ratio[1] == ratio[3] == pytest.approx(np.log(repetition.MIX)) and ratio[0] > 0 > ratio[2] > ratio[1]
+    assert repetition.cut_at(raw, ratio, 0.3) == pytest.approx(0.3 * ratio[1] + 0.7 * (ratio[0] + ratio[2]) / 2)
+    docs = [["a", "b", "c", "d", "x", "a", "b", "c", "d"], [], ["a", "b", "c", "d"]]
+    events, starts = repetition.hashed_events(docs, lex.Hashes())
+    assert (events & 1).tolist() == [1, 1, 1, 1, 0, 1, 1, 1, 1] + [0] * 4 and starts.tolist() == [0, 9, 9, 13]
+    assert events[0] >> 1 == events[5] >> 1 == events[9] >> 1 and events[0] >> 1 != events[1] >> 1
 
 
 def test_personal(spark):
