@@ -1,11 +1,14 @@
 """Main body of a page (problem 4).
 
-A page is a sequence of lines. Words speak for the body and tags (separators, menu
-entries, headings of link lists and what follows them, site names, copyright marks) against
-it; the weights of both are fitted by logistic regression on a small table of labelled
-lines. A linear scan finds the regions of maximal score; the best of them is the main body,
-further ones count when they are no worse than ``MIN_REGION``. Lines of a negative score
-inside a region are furniture too.
+A page is a sequence of lines. Words speak for the body and tags against it: separators,
+runs of short lines, headings of link lists and what follows them, site names, copyright
+marks, and words that menus, notices and footers are made of. The weights of both are fitted
+by logistic regression on a small table of labelled pages, and every line is scored, however
+long. A linear scan then finds the content region of the maximal score. As pages have
+furniture between their paragraphs, too, a region may be broken up, at a price: of all ways
+to choose regions, the one with the greatest sum of scores, less ``PRICE`` for each region,
+is the main body. A line is furniture because it lies outside of all regions, not by its own
+score: a weak line between paragraphs stays, a good one between menus goes.
 """
 from __future__ import annotations
 
@@ -20,79 +23,100 @@ from pyspark.sql import functions as F
 from gristmill.llm import labelled_pages, lex
 from gristmill.sources.tables import spread
 
-#: A region besides the best one is kept from this score on.
-MIN_REGION = 0.5
-#: Longer lines without separators are taken as body without further ado.
-LONG = 140
+#: What it costs to begin a region; the most that a single line may count.
+PRICE, MOST = 1.0, 8.0
 
-_SEP = re.compile(r"\s*[|»·•›>]\s*|\s+/\s+|\s{2,}|\t")
+_SEP = re.compile(r"\s*[|»·•›]\s*|\s+[/>-]\s+|\s{2,}|\t")
 _BULLET = re.compile(r"^\s*(?:[-–—>•*‣▸►]|\d+[.)])\s+")
-_ONE = re.compile(r"^[^\W\d_][^\W\d_'’-]*$")
-_MENU = re.compile(r"^(?:All [A-Z][\w-]+|The [A-Z][\w-]+ room|[A-Z][\w-]+ (?:reviews|& co))$")
 _END = re.compile(r"[.!?…。！？;:,][\"'”»)\]]*\s*$")
-_COPY = re.compile(r"^\s*(?:©\s*\d{4}\b|\(c\)\s*\d{4}\b|copyright\b)", re.I)
-_CAP = re.compile(r"^[^\W\d_]")
-_HAN_FIRST = re.compile(f"[{lex.HAN}]")
-_NAMED = re.compile(r"(?:feature of|let|help|©\s*\d*|Copyright \d+|belongs to|Subscribe to|ein, um)\s+((?:[A-Z][\w-]+\s?){1,2})")
+_COPY = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b|版权所有", re.I)
+_OWNER = re.compile(r"(?:©|\(c\)|copyright)[\s\d,–-]*([A-Z][\w-]+(?: [A-Z][\w-]+)?)", re.I)
+_STOP = re.compile(r"[.!?]\s|[。！？；，]")
 _DIGITS = re.compile(r"\d+")
-_BRACKETED = re.compile(r"\(\d+\)")
-_YEAR = re.compile(r"\d{4}$")
-_MID_STOP = re.compile(r"[.!?。！？](\s|$)")
+_COUNT = re.compile(r"\(\d+\)")
+_YEAR = re.compile(r"\s(?:19|20)\d\d$")
+_CODE = re.compile(r"[{}\[\]<>=_\\^]|\w[.;:]\w")
+_TAGS = (
+    "bias", "words", "new", "end", "stop", "common", "one", "title", "parts", "two", "menu_parts", "copy", "digits", "bullet", "upper", "lower", "code", "dated",
+    "site", "names_site", "head", "listed", "above", "run", "menu_run", "parts_page",
+)
 
 
-def _separated(line: str) -> bool:
-    """Whether a long line may be a row of menu entries."""
-    return "|" in line or "»" in line or "·" in line or " / " in line or "   " in line
+def parts_of(line: str) -> list[str]:
+    return [p for p in _SEP.split(line.strip()) if p and p.strip()]
 
 
-def _key(s: str) -> str:
-    return re.sub(r"\(\d+\)|[\d\s…:]+", " ", s.lower()).strip()
+def _stem(w: str) -> str:
+    return w[:5]
 
 
-_LABELLED = [(line[0] == "~", line[1:]) for line in labelled_pages.PAGES.strip().split("\n")]
-_NAV = frozenset(_key(p) for bad, line in _LABELLED if bad for p in _SEP.split(line) if re.search(r"[^\W\d_]", p) and len(p.split()) <= 4 and not p.endswith("."))
-_HEADS = frozenset(_key(s) for s in labelled_pages.LIST_HEADINGS.strip().split("\n"))
-_TAGS = ("bias", "words", "end", "nav", "mostly_nav", "menu", "parts", "copy", "site", "names_site", "head", "listed", "beside", "digits", "title", "one")
+_HEADS = frozenset(_stem(w) for row in labelled_pages.LIST_HEADINGS for w in lex.words_han(row.replace("{s}", " ")))
+_PLAIN = frozenset(map(_stem, lex.COMMON))
+#: Stems of the words of menus, notices and headings; other words are new.
+_FURNITURE = _HEADS | {_stem(w) for row in (*labelled_pages.MENU, *labelled_pages.NOTICE) for w in lex.words_han(re.sub(r"\{\w\}", " ", row))}
 
 
-def parts_of(line: str) -> list[str]:
-    return [p for p in _SEP.split(line.strip()) if p and p.strip()]
+_MENU = frozenset(p.lower() for row in labelled_pages.MENU for p in row.split("|"))
+
+
+def _new(ws: tuple[str, ...]) -> float:
+    """Share of the words, numbers aside, that menus and notices don't hold; a half without words."""
+    own = [w for w in ws if not w.isdigit()]
+    return sum(_stem(w) not in _FURNITURE for w in own) / len(own) if own else 0.5
+
+
+def is_heading(ws: tuple[str, ...], text: str) -> bool:
+    """Whether a short line is made of the words of headings of link lists, at least one of them no mere function word."""
+    if not 1 <= len(ws) <= 8 or text.lower() in _MENU or _END.search(text.rstrip(":： ")) or any(c.isdigit() for c in text):
+        return False
+    hits = [w for w in map(_stem, ws) if w in _HEADS]
+    if len(ws[0]) == 1 and len(ws) > 1 and not ws[0].isascii():
+        return len(hits) == len(ws)
+    return len(hits) * 3 >= 2 * len(ws) and (any(h not in _PLAIN for h in hits) or len(hits) == len(ws) > 2)
 
 
 def line_features(line: str) -> tuple[dict[str, float], tuple[str, ...]]:
-    """Tags that depend on the line alone, and its words and pairs of words."""
+    """Tags that depend on the line alone, and the stems of its words and its pairs of words."""
     text = line.strip()
     ws = tuple(lex.words_han(text))
-    parts = parts_of(text)
     n = len(ws)
-    t: dict[str, float] = {"bias": 1.0, "words": min(n, 30) / 10}
-    ended = _END.search(text)
+    t: dict[str, float] = {"bias": 1.0, "words": min(n, 12) / 12, "new": _new(ws)}
+    ended = _END.search(text) is not None
     if ended:
         t["end"] = 1.0
-    keys = [_key(p) for p in parts]
-    known = sum(k in _NAV or len(parts) > 2 and bool(_MENU.match(p)) for k, p in zip(keys, parts))
-    if parts and known == len(parts):
-        t["nav"] = 1.0
-    elif known and known * 2 >= len(parts):
-        t["mostly_nav"] = 1.0
-    if len(parts) == 1:
-        if _MENU.match(text):
-            t["menu"] = 1.0
-        if _ONE.match(text):
-            t["one"] = 1.0
-    digits = len(text) - len(_DIGITS.sub("", text))
-    if len(parts) >= 3 and (not digits or "(" in text and not _DIGITS.search(_BRACKETED.sub("", text))) and text != text.upper():
-        if all(_CAP.match(p) and p[0].isupper() and len(p.split()) <= 3 for p in parts):
-            t["parts"] = 1.0
-    if _COPY.match(text):
-        t["copy"] = 1.0
-    if n < 12 and _key(text) in _HEADS:
-        t["head"] = 1.0
+    if _STOP.search(text):
+        t["stop"] = 1.0
+    if n >= 4:
+        t["common"] = sum(w in lex.COMMON for w in ws) / n
+    bare = _COUNT.sub("", text)
+    digits = len(bare) - len(_DIGITS.sub("", bare))
     if digits * 6 > len(text):
         t["digits"] = 1.0
-    if 1 < n <= 10 and not ended:
+    if text.isupper() and n > 1:
+        t["upper"] = 1.0
+    if _CODE.search(text):
+        t["code"] = 1.0
+    if n == 1 and not ended:
+        t["one"] = 1.0
+    elif n <= 10 and not ended:
         t["title"] = 1.0
-    return t, ws + tuple(f"{a} {b}" for a, b in zip(ws, ws[1:]))
+    if text[:1].islower():
+        t["lower"] = 1.0
+    if n <= 4 and _YEAR.search(text):
+        t["dated"] = 1.0
+    if _BULLET.match(line):
+        t["bullet"] = 1.0
+    parts = parts_of(text)
+    if len(parts) > 1 and not digits and "upper" not in t and sum(map(len, parts)) <= 26 * len(parts):
+        t["parts" if len(parts) > 2 else "two"] = 1.0
+        known = sum(_new(tuple(lex.words_han(p))) < 0.5 for p in parts)
+        if known:
+            t["menu_parts"] = min(1.0, 0.4 + known / len(parts))
+    if _COPY.search(text):
+        t["copy"] = 1.0
+    if is_heading(ws, text):
+        t["head"] = 1.0
+    return t, tuple(map(_stem, ws)) + tuple(f"{a} {b}" for a, b in zip(ws, ws[1:]))
 
 
 @lru_cache(maxsize=50_000)
@@ -100,7 +124,8 @@ def line_tags(line: str) -> tuple[dict[str, float], float, int]:
     """Tags of the line alone, the weight of its words, and how many words it has."""
     t, ws = line_features(line)
     get = weights().get
-    return t, sum(get(w, 0.0) for w in ws if w not in _TAGS), (len(ws) + 1) // 2
+    n = (len(ws) + 1) // 2
+    return t, sum([get(w, 0.0) for w in ws if w not in _TAGS]) / max(1, n) ** 0.5, n
 
 
 def site_key(url: str | None) -> str:
@@ -111,119 +136,122 @@ def site_key(url: str | None) -> str:
     return re.sub(r"[^a-z0-9]", "", re.sub(r"^www\.", "", m[1]).rsplit(".", 1)[0])
 
 
-def is_menu_entry(t: dict[str, float]) -> bool:
-    return "nav" in t or "menu" in t or "one" in t
-
+def _squeezed(s: str) -> str:
+    return re.sub(r"[\s\d.'’©-]", "", s.lower())
 
-_BODY: tuple[dict[str, float], float] = ({"bias": 1.0, "words": 3.0, "end": 1.0}, 0.0)
 
-
-def page_tags(lines: list[str], url: str | None = None) -> list[tuple[dict[str, float], float] | None]:
-    """Tags of every line, with those that depend on its neighbours, and the weight of its words; None for a blank line."""
-    out: list = []
+def _page(lines: list[str], url: str | None, of_line) -> list:
+    """``(tags, words)`` of every line, those that depend on its neighbours put in; None for a blank line."""
+    out: list = [None if not line or line.isspace() else of_line(line) for line in lines]
+    out = [x and (dict(x[0]), *x[1:]) for x in out]
+    solid = [i for i, x in enumerate(out) if x is not None]
     site = site_key(url)
     if not site:
-        named = _NAMED.search("\n".join(line for line in lines if len(line) < LONG))
-        site = re.sub(r"[^a-z0-9]", "", named[1].lower()) if named else ""
-    listing = False
-    for line in lines:
-        if not line or line.isspace():
-            out.append(None)
-            listing = False
-            continue
-        if len(line) > LONG and not _separated(line):
-            out.append(_BODY)
-            listing = False
-            continue
-        t, words, n = line_tags(line)
-        t = dict(t)
-        if site and len(line) < 130:
-            low = line.lower().replace(" ", "").replace("-", "")
-            if site in low:
-                if _YEAR.sub("", low) == site:
-                    t["site"] = 1.0
-                elif "@" not in line and site.capitalize()[:3] in line:
-                    t["names_site"] = 1.0
-        if "head" in t:
-            listing = True
-        elif listing:
-            text = line.strip()
-            if (
-                n <= 20 and len(line) < 60 and line.count(" ") < 10 and not _MID_STOP.search(line) and "nav" not in t and "copy" not in t
-                and (text[0].isupper() or _BULLET.match(line) or _HAN_FIRST.match(text))
-            ):
+        owner = next((m for i in solid if "copy" in out[i][0] and (m := _OWNER.search(lines[i]))), None)
+        site = _squeezed(owner[1]) if owner else ""
+    separated = sum("parts" in out[i][0] or "two" in out[i][0] for i in solid)
+    if sum("dated" in out[i][0] for i in solid) > 2:  # a list of dated things
+        for i in solid:
+            out[i][0].pop("dated", None)
+    listing = None
+    for i in solid:
+        t, _, n = out[i]
+        line = lines[i]
+        if separated > 3 and separated * 2 > len(solid) and ("parts" in t or "two" in t):
+            t["parts_page"] = 1.0
+        if len(site) > 3 and n < 25:
+            low = _squeezed(line)
+            if low == site:
+                t["site"] = 1.0
+            elif site in low and "@" not in line and "://" not in line and "www." not in line:
+                t["names_site"] = 1.0
+        if listing is not None and i - listing > 1:
+            listing = None  # a blank line ends a list
+        if "head" in t and n <= 8:
+            listing = i
+        elif listing is not None:
+            if n <= 20 and len(line) < 90 and "stop" not in t and not line.rstrip().endswith((".", "!", "。", "！")):
                 t["listed"] = 1.0
-                t.pop("title", None)
+                listing = i
             else:
-                listing = False
-        out.append((t, words))
-    # runs of entries without a gap: one that holds known entries is a menu
+                listing = None
+    for i, j in zip(solid, solid[1:]):
+        if "title" in out[i][0] and "listed" not in out[i][0] and out[j][2] >= 12 and "end" in out[j][0]:
+            out[i][0]["above"] = 1.0
+    # runs of short lines without a gap; those with entries of known menus are one
     i = 0
     while i < len(out):
-        if out[i] is None or not is_menu_entry(out[i][0]):
-            i += 1
-            continue
         j = i
-        known = 0
-        while j < len(out) and out[j] is not None and is_menu_entry(out[j][0]):
-            known += "nav" in out[j][0]
+        while j < len(out) and out[j] is not None and out[j][2] <= 4 and "end" not in out[j][0] and "digits" not in out[j][0] and "code" not in out[j][0] and "bullet" not in out[j][0] and "listed" not in out[j][0]:
             j += 1
-        if j - i >= 3 and known >= 2 or j - i >= 2 and known >= 1:
+        if j - i >= 3:
+            known = sum(out[k][0]["new"] < 0.5 for k in range(i, j))
             for k in range(i, j):
-                out[k][0]["beside"] = 1.0
-        i = j
+                out[k][0]["run"] = 1.0
+                if known:
+                    out[k][0]["menu_run"] = min(1.0, 0.5 + known / (j - i))
+        i = max(j, i + 1)
     return out
 
 
-def _vector(t: dict[str, float], ws: tuple[str, ...], vocab: dict[str, int]) -> np.ndarray:
-    x = np.zeros(len(vocab))
-    for k, v in t.items():
-        x[vocab[k]] = v
-    for w in ws:
-        if w in vocab and w not in _TAGS:
-            x[vocab[w]] += 1
-    return x
+def page_tags(lines: list[str], url: str | None = None) -> list[tuple[dict[str, float], float] | None]:
+    """Tags of every line and the weight of its words; None for a blank line."""
+    return [x and x[:2] for x in _page(lines, url, line_tags)]
 
 
 @lru_cache(maxsize=1)
 def fitted_weights() -> dict[str, float]:
-    """Weight of every tag and word, positive for the body; fitted on the labelled lines."""
-    rows, labels = [], []
-    for bad, line in _LABELLED:
-        rows.append(line_features(line))
-        labels.append(0.0 if bad else 1.0)
-    extra = [
-        ({"bias": 1, "words": 0.4, "head": 1, "title": 1}, 0), ({"bias": 1, "words": 0.2, "head": 1, "title": 1}, 0),
-        ({"bias": 1, "words": 0.4, "listed": 1}, 0), ({"bias": 1, "words": 0.8, "listed": 1}, 0), ({"bias": 1, "words": 0.6, "listed": 1}, 0),
-        ({"bias": 1, "words": 0.2, "site": 1, "title": 1}, 0), ({"bias": 1, "words": 0.1, "site": 1, "one": 1}, 0), ({"bias": 1, "words": 0.3, "site": 1, "digits": 1, "title": 1}, 0),
-        ({"bias": 1, "words": 0.1, "one": 1, "beside": 1}, 0), ({"bias": 1, "words": 0.2, "menu": 1, "beside": 1, "title": 1}, 0), ({"bias": 1, "words": 0.3, "menu": 1, "beside": 1, "title": 1}, 0),
-        ({"bias": 1, "words": 0.1, "one": 1, "nav": 1, "beside": 1}, 0),
-        ({"bias": 1, "words": 1.0, "parts": 1, "title": 1}, 0), ({"bias": 1, "words": 0.6, "parts": 1, "title": 1}, 0),
-        ({"bias": 1, "words": 0.9, "names_site": 1}, 0), ({"bias": 1, "words": 1.3, "names_site": 1, "end": 1}, 0), ({"bias": 1, "words": 2.2, "names_site": 1, "end": 1}, 1),
-        ({"bias": 1, "words": 0.1, "one": 1}, 1), ({"bias": 1, "words": 0.1, "one": 1, "end": 1}, 1),
-        ({"bias": 1, "words": 0.3, "title": 1}, 1), ({"bias": 1, "words": 0.7, "title": 1}, 1), ({"bias": 1, "words": 3, "end": 1}, 1), ({"bias": 1, "words": 2, "end": 1}, 1), ({"bias": 1, "words": 1.2, "end": 1}, 1),
-    ]
-    for t, good in extra:
-        for _ in range(4):
-            rows.append((t, ()))
-            labels.append(float(good))
-    counts: dict[str, int] = {}
-    for _, ws in rows:
-        for w in set(ws):
-            counts[w] = counts.get(w, 0) + 1
+    """Weight of every tag and word, positive for the body; fitted on the labelled pages.
+
+    Words are fitted first, on single lines, as the tags of runs go by them; then all
+    together with the tags of the neighbours.
+    """
+    made = labelled_pages.pages()
+    known = {line: line_features(line) for _, lines in made for line, _ in lines if line}
+    bad: dict[str, int] = {}
+    for line in {line for _, lines in made for line, good in lines if not good}:
+        for w in set(known[line][1]):
+            bad[w] = bad.get(w, 0) + 1
     vocab = {k: i for i, k in enumerate(_TAGS)}
-    for w in sorted(counts):
-        if w not in vocab and not w.isdigit() and w not in lex.COMMON:
+    for w in sorted(bad):
+        if w not in vocab and not w.isdigit() and (" " not in w or bad[w] > 1):
             vocab[w] = len(vocab)
-    x = np.array([_vector(t, ws, vocab) for t, ws in rows])
-    y = np.array(labels)
-    w = np.zeros(x.shape[1])
-    # single words are held back more than pairs of words, which hardly occur by chance
-    decay = np.array([0.001 if " " in k else 0.01 for k in vocab])
-    decay[: len(_TAGS)] = 0.0005
-    for _ in range(4000):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        w -= 1.0 * (x.T @ (p - y) / len(y) + decay * w)
+
+    def words_of(line: str) -> list[tuple[int, float]]:
+        ws = known[line][1]
+        each = 1 / max(1, (len(ws) + 1) // 2) ** 0.5
+        return [(vocab[w], each) for w in ws if w in vocab and w not in _TAGS]
+
+    def solve(rows: list[tuple[list[tuple[int, float]], float]]) -> np.ndarray:
+        """Ridge logistic regression by accelerated gradient steps over the sparse rows."""
+        size = np.array([len(r) for r, _ in rows])
+        col = np.array([c for r, _ in rows for c, _ in r])
+        val = np.array([v for r, _ in rows for _, v in r])
+        row = np.repeat(np.arange(len(rows)), size)
+        y = np.array([g for _, g in rows])
+        w, z = np.zeros(len(vocab)), np.zeros(len(vocab))
+        decay = np.where(np.arange(len(vocab)) < len(_TAGS), 1e-5, 2e-5)
+        for k in range(700):
+            p = 1 / (1 + np.exp(-np.bincount(row, val * z[col], minlength=len(rows))))
+            new = z - 0.8 * (np.bincount(col, val * (p - y)[row], minlength=len(vocab)) / len(rows) + decay * z)
+            z = new + k / (k + 3) * (new - w)
+            w = new
+        return w
+
+    def tags(t: dict[str, float]) -> list[tuple[int, float]]:
+        return [(vocab[k], v) for k, v in t.items()]
+
+    single = {(line, good) for _, lines in made for line, good in lines if line}
+    first = solve([(tags(known[line][0]) + words_of(line), float(good)) for line, good in sorted(single)])
+    inside = {line: sum(first[c] * v for c, v in words_of(line)) for line in known}
+    rows = []
+    for url, lines in made:
+        texts = [line for line, _ in lines]
+        of_line = lambda line: (known[line][0], inside[line], (len(known[line][1]) + 1) // 2)
+        for (line, good), x in zip(lines, _page(texts, url, of_line)):
+            if x is not None:
+                rows.append((tags(x[0]) + words_of(line), float(good)))
+    w = solve(rows)
     return {k: float(w[i]) for k, i in vocab.items()}
 
 
@@ -231,42 +259,43 @@ def score(t: dict[str, float], words: float, wt: dict[str, float]) -> float:
     return sum([wt[k] * v for k, v in t.items()]) + words
 
 
-def maximal_regions(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring runs ``(begin, end, score)`` in one pass."""
-    runs: list[tuple[int, int, float, float]] = []  # begin, end, sum before, sum after
-    total = 0.0
-    for i, s in enumerate(scores):
-        before, total = total, total + s
-        if s <= 0:
-            continue
-        run = (i, i + 1, before, total)
-        while True:
-            j = len(runs) - 1
-            while j >= 0 and runs[j][2] >= run[2]:
-                j -= 1
-            if j < 0 or runs[j][3] >= run[3]:
-                runs.append(run)
-                break
-            run = (runs[j][0], run[1], runs[j][2], run[3])
-            del runs[j:]
-    return [(b, e, after - before) for b, e, before, after in runs]
+def best_regions(scores: list[float], price: float = PRICE) -> list[tuple[int, int]]:
+    """Disjoint runs ``(begin, end)`` with the greatest sum of scores, less ``price`` for each, in one scan; none if no run is worth its price.
+
+    Of equal choices the one with the shorter runs. With a price beyond all sums of scores
+    that break up a run this is the single maximum-scoring run.
+    """
+    off, on = 0.0, float("-inf")
+    entered: list[bool] = []  # whether the best choice that is in a region at i begins it there
+    left: list[bool] = []  # whether the best choice that is in none at i leaves one there
+    for s in scores:
+        begin = off - price > on
+        left.append(on > off)
+        off, on = max(off, on), max(on, off - price) + s
+        entered.append(begin)
+    runs, end = [], len(scores)
+    inside = on > off
+    for i in range(len(scores) - 1, -1, -1):
+        if inside:
+            if entered[i]:
+                runs.append((i, end))
+                inside = False
+        elif left[i]:
+            inside, end = True, i
+    return runs[::-1]
 
 
 def furniture_lines(text: str | None, url: str | None = None) -> list[int]:
     """Numbers from 1 of the lines of ``text`` that are not main body; blank lines are never among them."""
     if not text:
         return []
-    lines = text.split("\n")
-    tagged = page_tags(lines, url)
+    tagged = page_tags(text.split("\n"), url)
     wt = weights()
-    scores = [0.0 if x is None else max(-8.0, min(8.0, score(*x, wt))) for x in tagged]
-    regions = maximal_regions(scores)
-    best = max((r[2] for r in regions), default=0.0)
-    keep = np.zeros(len(lines), bool)
-    for b, e, s in regions:
-        if s >= min(best, MIN_REGION):
-            keep[b:e] = True
-    return [i + 1 for i, x in enumerate(tagged) if x is not None and not (keep[i] and scores[i] > 0)]
+    scores = [0.0 if x is None else max(-MOST, min(MOST, score(*x, wt))) for x in tagged]
+    keep = np.zeros(len(scores), bool)
+    for b, e in best_regions(scores):
+        keep[b:e] = True
+    return [i + 1 for i, x in enumerate(tagged) if x is not None and not keep[i]]
 
 
 _shipped: dict[str, float] | None = None

@@ -21,14 +21,18 @@ from gristmill.sources.tables import spread
 
 CHUNK = 16_384
 FAN = 512
-#: A line longer than this is never page furniture; a word longer than this is never a common word.
-SHORT, LONG_WORD = 240, 40
+#: Lines up to this length are kept as text where a chunk cuts them, so that they can be scored as a whole; longer
+#: ones, wherever they are cut, count as body. A word longer than LONG_WORD is never a common word.
+SHORT, LONG_WORD = 4_000, 40
 #: Body texts with a lower share of common words (of sentence marks among ideographs) are not prose.
 MIN_COMMON, MIN_HAN_MARKS = 0.18, 0.03
 #: A body without any word counts as junk from this many characters on.
 MIN_JUNK = 20
 
-NAMES = ("lines", "end_lines", "words", "word_chars", "common", "symbols", "chars", "han", "han_marks")
+#: Languages whose function words aren't known: least share of words of up to three letters, words to a sentence end, most symbols, mean length of a word.
+MIN_SHORT, SENTENCE, MAX_SYMBOLS, MAX_LENGTH = 0.15, (4, 60), 0.10, 9.0
+
+NAMES = ("lines", "end_lines", "words", "word_chars", "common", "symbols", "chars", "han", "han_marks", "short", "stops")
 _HAN = re.compile(f"[{lex.HAN}]")
 _MARKS = re.compile("[。，！？；]")
 _TOKEN = re.compile(f"[{lex.HAN}]|[^\\W_{lex.HAN}]+")
@@ -54,6 +58,8 @@ def _word(counts: list[int], length: int, word: str | None) -> None:
     counts[3] += length
     if word is not None and 2 <= length and word in lex.COMMON:
         counts[4] += 1
+    if length <= 3 and word is not None and word.isalpha():
+        counts[9] += 1
 
 
 def _count_text(text: str, counts: list[int]) -> None:
@@ -65,6 +71,8 @@ def _count_text(text: str, counts: list[int]) -> None:
     counts[3] += n
     common = lex.COMMON
     counts[4] += sum(t in common for t in tokens if len(t) > 1)
+    counts[9] += sum(len(t) <= 3 and t.isalpha() and not _HAN.match(t) for t in tokens)
+    counts[10] += text.count(".") + text.count("!") + text.count("?") + text.count("…")
     chars = len("".join(text.split()))
     counts[6] += chars
     counts[5] += max(0, chars - n)
@@ -140,7 +148,7 @@ def close(p, state) -> None:
 
 def is_furniture(line: str) -> bool:
     """Whether the line by itself scores against the main body; of two lines of the same look one can't tell a menu from a list."""
-    if len(line) > SHORT or len(line) > 110 and not main_body._separated(line):
+    if len(line) > SHORT:
         return False
     tags, words, _ = main_body.line_tags(line)
     return main_body.score(tags, words, main_body.weights()) < 0
@@ -199,13 +207,26 @@ def finish(state) -> tuple[list[int], list[int]]:
 
 
 def verdict(body: list[int]) -> str:
-    """``prose``, ``list`` (few common words) or ``junk`` (no words); ``empty`` without body."""
-    _, _, words, _, common, _, chars, han, marks = body
+    """``prose``, ``list`` (no sentences) or ``junk`` (no words); ``empty`` without body.
+
+    Text of ideographs needs marks between them, other text function words. Where these are
+    few, the text may be in another language: it is prose if it has short words, sentences
+    of a usual length, few symbols and words of a usual length.
+    """
+    d = dict(zip(NAMES, body))
+    words, chars = d["words"], d["chars"]
     if not words:
         return "junk" if chars >= MIN_JUNK else "empty"
-    if han * 2 >= words:
-        return "prose" if marks >= MIN_HAN_MARKS * han else "list"
-    return "prose" if common >= MIN_COMMON * words else "list"
+    if d["han"] * 2 >= words:
+        return "prose" if d["han_marks"] >= MIN_HAN_MARKS * d["han"] else "list"
+    if d["common"] >= MIN_COMMON * words:
+        return "prose"
+    low, high = SENTENCE
+    other = (
+        d["short"] >= MIN_SHORT * words and low * d["stops"] <= words <= high * d["stops"] and d["symbols"] <= MAX_SYMBOLS * chars
+        and d["word_chars"] <= MAX_LENGTH * words and d["end_lines"] * 4 >= d["lines"]
+    )
+    return "prose" if other else "list"
 
 
 def statistics(text: str | None, chunk: int = CHUNK):

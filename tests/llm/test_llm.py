@@ -83,6 +83,18 @@ def test_statistics_do_not_depend_on_chunks():
         assert all(prose.statistics(t, k) == whole for k in (1, 2, 3, 7, 20))
 
 
+def test_prose_of_other_languages():
+    texts = [
+        "O velho barco estava parado junto ao cais, e ninguém no museu tinha visto um porto tão calmo no inverno. A água subia devagar. Quando o sol se pôs, os homens foram para casa.",
+        "Stara łódź stała przy nabrzeżu i nikt w muzeum nie widział tak cichego portu w zimie. Woda powoli się podnosiła. Gdy słońce zaszło, ludzie poszli do domu i nic już nie mówili.",
+        "Старая лодка стояла у причала, и никто в музее не видел такой тихой гавани зимой. Вода медленно поднималась. Когда солнце село, люди ушли по домам и больше не говорили о ней.",
+        "Il vecchio battello era fermo presso il molo e nessuno al museo aveva mai visto un porto così quieto. L'acqua saliva piano. Al tramonto gli uomini tornarono a casa.",
+    ]
+    assert [prose.verdict(prose.statistics(t)[1]) for t in texts] == ["prose"] * 4
+    lists = ["\n".join(f"czerwona lampa {i}" for i in range(20)), "barco velho, porto calmo, lua nova, " * 20, "лодка / причал / музей\n" * 20, "12.5, 13.7, 99.1\n" * 20]
+    assert "prose" not in [prose.verdict(prose.statistics(t)[1]) for t in lists]
+
+
 def test_prose_statistics(spark):
     items = "\n".join(f"narrow pear {i} cm" for i in range(30))
     df = frame(spark, [PROSE * 5, items, PROSE * 5])
@@ -111,20 +123,70 @@ def test_token_estimates(spark):
     assert tokens.fit(df.limit(0)).keys() == model.keys()
 
 
-PAGE = "Blue Lantern\nHome\nAbout us\nContact\nThe Odd Rainfall Of Hillford\n\n" + PROSE + "\nShare | Tweetle | Pin | E-mail\nThey opened the gate before noon and painted it.\n\nRelated articles\nNarrow Harbour In Westmoor\n> A thin nurse and a vivid council\n\n© 2029 Blue Lantern. All rights reserved."
+PAGE = """Silver Otter
+Home
+Otters
+About us
+Contact
+
+The Odd Rainfall Of Hillford
+
+The old boat stood beside the quay, and nobody at the museum had ever seen such a quiet harbour in the winter.
+Tweet this page | Pin it | E-mail to a friend
+They opened the gate before noon and painted it.
+
+Related articles
+Narrow Harbour In Westmoor
+> A thin nurse and a vivid council
+
+© 2029 Silver Otter. All rights reserved."""
 
 
 def test_main_body(spark):
-    assert main_body.furniture_lines(PAGE, "http://www.blue-lantern.example/x") == [1, 2, 3, 4, 8, 11, 12, 13, 15]
+    assert main_body.furniture_lines(PAGE, "http://www.silver-otter.example/x") == [1, 2, 3, 4, 5, 10, 13, 14, 15, 17]
     df = frame(spark, [PAGE])
     kept = {x["rec_id"]: x["text"] for x in main_body.main_text(df).collect()}
-    assert kept[1] is None and kept[2] == "" and kept[10].startswith("The Odd Rainfall") or "Blue Lantern" in kept[10]
+    assert kept[1] is None and kept[2] == "" and kept[10].startswith("The Odd Rainfall") and "Silver Otter" not in kept[10] and kept[10].endswith("painted it.")
     assert main_body.furniture(df.limit(0)).count() == 0
 
 
-def test_maximal_regions():
-    assert main_body.maximal_regions([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]
-    assert main_body.maximal_regions([-1, 0, -2]) == []
+def test_furniture_of_unseen_wording():
+    """Lines that stand in no table of the library, long ones included, among paragraphs; and body lines that look a little like them."""
+    bad = [
+        "To make your stay on our pages pleasant, we place small cookies on your device; by browsing further you consent to their use, which our privacy statement explains.",
+        "Cookies: accept everything | only what is needed", "Sign up to our newsletter and get our stories by email", "Log in or create an account to post your comment",
+        "Share on Chatter | Print this article", "Copyright 2017-2023 Amber Fox Ltd, all rights reserved", "Privacy notice | Terms of use | Contact us | Site map",
+        "Previous story | Next story", "Page 3 of 9 | Next page »", "Diese Webseite verwendet Cookies, Details in unserer Datenschutzerklärung. Akzeptieren",
+        "Bitte melden Sie sich an, um einen Kommentar zu schreiben.", "Ce site utilise des cookies, consultez notre politique de confidentialité.", "Suscríbase gratis a nuestro boletín", "本网站使用Cookie，请阅读隐私政策。 接受",
+    ]
+    good = [PROSE.strip(), "The cookies were warm, and the children ate them before the guests came.", "He would not comment on the price of the boat.", "Why the harbour was closed", "They share the print shop with a baker, who pays the rent."]
+    found = [i for i, line in enumerate(bad) if main_body.furniture_lines("\n\n".join([good[0], line, good[0]])) != [3]]
+    assert len(found) <= 1
+    assert main_body.furniture_lines("\n".join(good), "https://amber-fox.example") == []
+
+
+def test_the_region_decides():
+    # a weak line between good ones stays, a weak good one among bad ones goes, the same scores at the edge are cut
+    assert main_body.best_regions([4.0, -1.0, 4.0]) == [(0, 3)] and main_body.best_regions([-1.0, 4.0, -1.0]) == [(1, 2)]
+    assert main_body.best_regions([-5.0, 1.0, -5.0, 4.0]) == [(3, 4)] and main_body.best_regions([4.0, -5.0, 4.0]) == [(0, 1), (2, 3)]
+    assert main_body.best_regions([]) == [] and main_body.best_regions([-1.0, 0.0]) == []
+    r = np.random.default_rng(2)
+    changed = 0
+    for _ in range(60):
+        s = r.normal(0, 2, 9).round(1)
+        best = 0.0
+        for mask in range(1 << 9):
+            keep = [bool(mask >> i & 1) for i in range(9)]
+            n = sum(k and not (i and keep[i - 1]) for i, k in enumerate(keep))
+            best = max(best, s[keep].sum() - main_body.PRICE * n)
+        got = main_body.best_regions(s.tolist())
+        assert sum(s[b:e].sum() - main_body.PRICE for b, e in got) == pytest.approx(best)
+        kept = {i for b, e in got for i in range(b, e)}
+        changed += kept != {i for i in range(9) if s[i] > 0}
+        # without the right to break it up, the one maximum-scoring run
+        one = main_body.best_regions(s.tolist(), 0.001)
+        assert one or s.max() <= 0.001
+    assert changed > 30
 
 
 @pytest.fixture(scope="module")
