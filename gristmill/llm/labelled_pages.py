@@ -86,6 +86,11 @@ Leave a comment
 Leave a reply
 Post a comment
 You must be logged in to post a comment.
+Sign in or register to leave a reply
+Create your account and join the discussion
+Have your say: log in first
+Members can log in here to comment
+Write to us with your comments about this site
 Please log in or register to comment.
 Comments are closed.
 No comments yet. Be the first to comment.
@@ -211,6 +216,10 @@ Folgen Sie uns auf Chatter
 Beitrag teilen | Seite drucken | Link kopieren
 Diesen Artikel weiterempfehlen
 Kommentar schreiben
+Registrieren Sie sich bitte, um Beiträge zu schreiben.
+Nur angemeldete Benutzer können Kommentare schreiben.
+Melden Sie sich hier an, um mitzureden
+Bestellen Sie unseren kostenlosen Rundbrief
 Bitte einloggen, um zu kommentieren.
 Noch keine Kommentare
 Alle Kommentare anzeigen
@@ -249,6 +258,9 @@ Suivez-nous sur Chatter
 Partager cet article | Imprimer cette page
 Envoyer à un ami
 Laisser un commentaire
+Inscrivez-vous pour laisser un message
+Recevez gratuitement notre lettre d'information
+Seuls les membres peuvent écrire un commentaire.
 Connectez-vous pour commenter.
 Aucun commentaire
 Article précédent | Article suivant
@@ -283,6 +295,10 @@ Síganos en Chatter
 Compartir este artículo | Imprimir esta página
 Enviar a un amigo
 Deje un comentario
+Regístrese gratis para escribir un comentario
+Reciba gratis nuestro boletín en su correo
+Suscríbase a nuestras noticias
+Solo los usuarios registrados pueden comentar.
 Inicie sesión para comentar.
 No hay comentarios
 Artículo anterior | Artículo siguiente

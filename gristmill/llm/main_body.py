@@ -29,7 +29,8 @@ PRICE, MOST = 1.0, 8.0
 _SEP = re.compile(r"\s*[|»·•›]\s*|\s+[/>-]\s+|\s{2,}|\t")
 _BULLET = re.compile(r"^\s*(?:[-–—>•*‣▸►]|\d+[.)])\s+")
 _END = re.compile(r"[.!?…。！？;:,][\"'”»)\]]*\s*$")
-_COPY = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b|版权所有", re.I)
+_SEPARATED = re.compile(r"[|»·•›\t]| [/>-] |  ")
+_COPY = re.compile(r"\(c\)\s*\d{4}", re.I)
 _OWNER = re.compile(r"(?:©|\(c\)|copyright)[\s\d,–-]*([A-Z][\w-]+(?: [A-Z][\w-]+)?)", re.I)
 _STOP = re.compile(r"[.!?]\s|[。！？；，]")
 _DIGITS = re.compile(r"\d+")
@@ -42,6 +43,9 @@ _TAGS = (
 )
 
 
+_TAG_SET = frozenset(_TAGS)
+
+
 def parts_of(line: str) -> list[str]:
     return [p for p in _SEP.split(line.strip()) if p and p.strip()]
 
@@ -59,13 +63,13 @@ _FURNITURE = _HEADS | {_stem(w) for row in (*labelled_pages.MENU, *labelled_page
 _MENU = frozenset(p.lower() for row in labelled_pages.MENU for p in row.split("|"))
 
 
-def _new(ws: tuple[str, ...]) -> float:
+def _new(ws: list[str]) -> float:
     """Share of the words, numbers aside, that menus and notices don't hold; a half without words."""
     own = [w for w in ws if not w.isdigit()]
     return sum(_stem(w) not in _FURNITURE for w in own) / len(own) if own else 0.5
 
 
-def is_heading(ws: tuple[str, ...], text: str) -> bool:
+def is_heading(ws: list[str], text: str) -> bool:
     """Whether a short line is made of the words of headings of link lists, at least one of them no mere function word."""
     if not 1 <= len(ws) <= 8 or text.lower() in _MENU or _END.search(text.rstrip(":： ")) or any(c.isdigit() for c in text):
         return False
@@ -75,24 +79,33 @@ def is_heading(ws: tuple[str, ...], text: str) -> bool:
     return len(hits) * 3 >= 2 * len(ws) and (any(h not in _PLAIN for h in hits) or len(hits) == len(ws) > 2)
 
 
-def line_features(line: str) -> tuple[dict[str, float], tuple[str, ...]]:
-    """Tags that depend on the line alone, and the stems of its words and its pairs of words."""
+def line_features(line: str) -> tuple[dict[str, float], list[str], int]:
+    """Tags that depend on the line alone; the stems of the words, and the pairs of words, that furniture is made of; how many words the line has."""
     text = line.strip()
-    ws = tuple(lex.words_han(text))
+    low = text.lower()
+    ws = lex.WORD_HAN.findall(low)
     n = len(ws)
-    t: dict[str, float] = {"bias": 1.0, "words": min(n, 12) / 12, "new": _new(ws)}
-    ended = _END.search(text) is not None
+    stems = [w[:5] for w in ws]
+    at = [i for i, s in enumerate(stems) if s in _FURNITURE]
+    numbers = _DIGITS.search(text) is not None
+    own = n - (sum(map(str.isdigit, ws)) if numbers else 0)
+    known = len(at) - (sum([ws[i].isdigit() for i in at]) if numbers else 0)
+    t: dict[str, float] = {"bias": 1.0, "words": min(n, 12) / 12, "new": 1 - known / own if own else 0.5}
+    ended = _END.search(text[-12:]) is not None
     if ended:
         t["end"] = 1.0
     if _STOP.search(text):
         t["stop"] = 1.0
     if n >= 4:
-        t["common"] = sum(w in lex.COMMON for w in ws) / n
-    bare = _COUNT.sub("", text)
-    digits = len(bare) - len(_DIGITS.sub("", bare))
+        t["common"] = sum(map(lex.COMMON.__contains__, ws)) / n
+    digits = 0
+    if numbers:
+        bare = _COUNT.sub("", text)
+        digits = sum(map(str.isdigit, bare))
     if digits * 6 > len(text):
         t["digits"] = 1.0
-    if text.isupper() and n > 1:
+    upper = n > 1 and text.isupper()
+    if upper:
         t["upper"] = 1.0
     if _CODE.search(text):
         t["code"] = 1.0
@@ -102,30 +115,30 @@ def line_features(line: str) -> tuple[dict[str, float], tuple[str, ...]]:
         t["title"] = 1.0
     if text[:1].islower():
         t["lower"] = 1.0
-    if n <= 4 and _YEAR.search(text):
+    if n <= 4 and digits and _YEAR.search(text):
         t["dated"] = 1.0
     if _BULLET.match(line):
         t["bullet"] = 1.0
-    parts = parts_of(text)
-    if len(parts) > 1 and not digits and "upper" not in t and sum(map(len, parts)) <= 26 * len(parts):
-        t["parts" if len(parts) > 2 else "two"] = 1.0
-        known = sum(_new(tuple(lex.words_han(p))) < 0.5 for p in parts)
-        if known:
-            t["menu_parts"] = min(1.0, 0.4 + known / len(parts))
-    if _COPY.search(text):
+    if not digits and not upper and _SEPARATED.search(text):
+        parts = parts_of(text)
+        if len(parts) > 1 and sum(map(len, parts)) <= 26 * len(parts):
+            t["parts" if len(parts) > 2 else "two"] = 1.0
+            menu = sum([_new(lex.words_han(p)) < 0.5 for p in parts])
+            if menu:
+                t["menu_parts"] = min(1.0, 0.4 + menu / len(parts))
+    if "©" in low or "copyright" in low or "(c)" in low and _COPY.search(text) or "版权所有" in low:
         t["copy"] = 1.0
-    if is_heading(ws, text):
+    if n <= 8 and is_heading(ws, text):
         t["head"] = 1.0
-    return t, tuple(map(_stem, ws)) + tuple(f"{a} {b}" for a, b in zip(ws, ws[1:]))
+    return t, [stems[i] for i in at] + [f"{ws[i]} {ws[j]}" for i, j in zip(at, at[1:]) if j == i + 1], n
 
 
 @lru_cache(maxsize=50_000)
 def line_tags(line: str) -> tuple[dict[str, float], float, int]:
     """Tags of the line alone, the weight of its words, and how many words it has."""
-    t, ws = line_features(line)
+    t, ws, n = line_features(line)
     get = weights().get
-    n = (len(ws) + 1) // 2
-    return t, sum([get(w, 0.0) for w in ws if w not in _TAGS]) / max(1, n) ** 0.5, n
+    return t, sum([get(w, 0.0) for w in ws if w not in _TAG_SET]) / max(1, n) ** 0.5, n
 
 
 def site_key(url: str | None) -> str:
@@ -218,9 +231,8 @@ def fitted_weights() -> dict[str, float]:
             vocab[w] = len(vocab)
 
     def words_of(line: str) -> list[tuple[int, float]]:
-        ws = known[line][1]
-        each = 1 / max(1, (len(ws) + 1) // 2) ** 0.5
-        return [(vocab[w], each) for w in ws if w in vocab and w not in _TAGS]
+        _, ws, n = known[line]
+        return [(vocab[w], 1 / max(1, n) ** 0.5) for w in ws if w in vocab and w not in _TAG_SET]
 
     def solve(rows: list[tuple[list[tuple[int, float]], float]]) -> np.ndarray:
         """Ridge logistic regression by accelerated gradient steps over the sparse rows."""
@@ -247,7 +259,7 @@ def fitted_weights() -> dict[str, float]:
     rows = []
     for url, lines in made:
         texts = [line for line, _ in lines]
-        of_line = lambda line: (known[line][0], inside[line], (len(known[line][1]) + 1) // 2)
+        of_line = lambda line: (known[line][0], inside[line], known[line][2])
         for (line, good), x in zip(lines, _page(texts, url, of_line)):
             if x is not None:
                 rows.append((tags(x[0]) + words_of(line), float(good)))

@@ -62,22 +62,36 @@ def _word(counts: list[int], length: int, word: str | None) -> None:
         counts[9] += 1
 
 
+class _Kinds(dict):
+    """word -> 1 for a common word, plus 2 for up to three letters; 4 for an ideograph."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        kind = 4 if _HAN.match(word) else (len(word) > 1 and word in lex.COMMON) + 2 * (len(word) <= 3 and word.isalpha())
+        self[word] = kind
+        return kind
+
+
+_kinds = _Kinds()
+
+
 def _count_text(text: str, counts: list[int]) -> None:
     """Adds words, symbols and marks of ``text`` to ``counts``."""
-    low = text.lower()
-    tokens = _TOKEN.findall(low)
+    tokens = _TOKEN.findall(text.lower())
+    kinds = bytes(map(_kinds.__getitem__, tokens))
+    n = len("".join(tokens))
+    both = kinds.count(3)
+    chars = len("".join(text.split()))
     counts[2] += len(tokens)
-    n = sum(map(len, tokens))
     counts[3] += n
-    common = lex.COMMON
-    counts[4] += sum(t in common for t in tokens if len(t) > 1)
-    counts[9] += sum(len(t) <= 3 and t.isalpha() and not _HAN.match(t) for t in tokens)
-    counts[10] += text.count(".") + text.count("!") + text.count("?") + text.count("…")
-    chars = len("".join(text.split()))
+    counts[4] += kinds.count(1) + both
     counts[6] += chars
     counts[5] += max(0, chars - n)
+    counts[7] += kinds.count(4)
+    counts[9] += kinds.count(2) + both
+    counts[10] += text.count(".") + text.count("!") + text.count("?") + text.count("…")
     if not text.isascii():
-        counts[7] += len(_HAN.findall(text))
         counts[8] += len(_MARKS.findall(text))
 
 
