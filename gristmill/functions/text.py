@@ -18,6 +18,19 @@ TERMINAL = [".", "?", "!", '"', "'", "»", "…"]
 BULLET = r"^\s*[•\-*+►▸▶◆◇○●]\s"
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value made once a row, however often ``f`` mentions it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def fixed(c: Column) -> Column:
+    """``c`` as it is, but made where it stands: filters on it aren't pushed below it, and it isn't written out again in every expression that mentions it.
+
+    The condition always holds; the optimizer takes it for one that may not.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")

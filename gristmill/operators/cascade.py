@@ -1,4 +1,4 @@
-"""The rule cascade as one plan: every row gets the first reason that drops it."""
+"""The rule cascade as one plan: every row gets the first step and reason that drops it."""
 from __future__ import annotations
 
 import pandas as pd
@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.operators import dedup, ngrams, pii, quality
+from gristmill.scorers import language as L
+from gristmill.scorers import toxicity
 
-STEPS = ("lang", "quality", "repetition")
+#: The steps in their order; a step only sees what earlier ones leave.
+STEPS = ("url_dedup", "url_filter", "lang", "quality", "repetition", "pii_density", "toxicity")
 
 
 def language(col: Column) -> Column:
@@ -16,55 +19,55 @@ def language(col: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim(col)), "^([a-z]+)", 1), F.lit("")), F.lit("unknown"))
 
 
-def annotated(df: DataFrame, text_col: str = "text", lang_col: str = "lang", target: str = "en") -> DataFrame:
-    """``df`` with ``reason``, null for what stays. Later steps only see what earlier ones leave.
+def judged(texts: Column) -> Column:
+    """Quality reason and, of what passes, the n-gram fractions, by one Arrow function; nulls for a null text."""
 
-    The n-gram counts, the dear part, are only made of rows that pass language and quality.
-    A null text is an empty one and fails as too short; a null language is ``unknown``.
-    """
-    lang = language(F.col(lang_col))
-    early = F.when(lang != target, F.concat(F.lit("lang:"), lang))
-    # one Arrow function gives the quality reason and, for what passes, the n-gram fractions
     @F.pandas_udf("q string, g array<double>")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        q = [None if t is None else quality.row_reason(t) for t in texts]
-        return pd.DataFrame({"q": q, "g": [None if t is None or r else ngrams.fractions(t) for t, r in zip(texts, q)]})
+    def run(s: pd.Series) -> pd.DataFrame:
+        q = [None if t is None else quality.row_reason(t) for t in s]
+        return pd.DataFrame({"q": q, "g": [None if t is None or r else ngrams.fractions(t) for t, r in zip(s, q)]})
 
-    df = df.withColumn("_early", early).withColumn("_j", judged(F.when(F.col("_early").isNull(), T.text_of(F.col(text_col)))))
-    df = df.withColumn("_grams", F.col("_j.g")).withColumn("_early", F.coalesce("_early", F.concat(F.lit("quality:"), F.col("_j.q"))))
-    r = ngrams.reason(F.col(text_col))
-    return df.withColumn("reason", F.coalesce("_early", F.when(F.col("_grams").isNotNull(), F.concat(F.lit("repetition:"), r)))).drop("_early", "_j", "_grams")
+    return run(texts)
 
 
-def whole(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", url_col: str = "url", toxicity_col: str = "_toxicity_score", toxic: float = 0.85) -> DataFrame:
-    """``df`` with ``reason`` and ``masked_text``, through copies of an address, its filter, language, quality, repetition, density of personal information and toxicity.
+def whole(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, url_col: str | None = "url", target: str = "en", max_density: float = 0.3, action: str = "filter") -> DataFrame:
+    """``df`` with ``detected_lang``, ``lang_conf``, ``step``, ``reason``, ``masked_text``, ``n_pii`` and ``toxicity``.
 
-    The steps by address and by toxicity are left out where ``df`` lacks their column.
-    A kept row has its text masked, a dropped one null. Ids must be unique.
+    Steps: copies of an address (the row of the least id stays; rows without an address go
+    by their content), the address filter, language (detected, or taken from ``lang_col``
+    and then sure), quality, repetition, density of personal information, toxicity of the
+    masked text. ``reason`` begins with the step and is null for what stays; only that has
+    ``masked_text``. Dear measures are only made of rows that earlier steps leave. Without
+    ``url_col`` the two steps by address are left out; with ``action='flag'`` toxicity
+    never drops. A null text is an empty one; a null id has no copies. Ids must be unique.
     """
+    known = L.detected(F.col(text_col)) if lang_col is None else F.struct(language(F.col(lang_col)).alias("lang"), F.lit(1.0).alias("conf"))
     early = F.lit(None).cast("string")
-    if url_col in df.columns:
-        first = dedup.representatives(df, dedup.url_key(F.col(url_col), F.col(text_col)), id_col).select(id_col, F.lit(True).alias("_first"))
-        df = df.join(first, id_col, "left")
-        early = F.when(F.col("_first").isNull(), "url_dedup:copy").otherwise(F.concat(F.lit("url_filter:"), quality.url(F.col(url_col))))
-    df = df.withColumn("_url", early)
-    # without a language later steps don't look at the text
-    df = annotated(df.withColumn("_lang", F.when(F.col("_url").isNull(), F.col(lang_col))), text_col, "_lang").withColumn("reason", F.coalesce("_url", "reason"))
-    df = pii.masked(df.withColumn("_text", F.when(F.col("reason").isNull(), F.col(text_col))), "_text")
+    if url_col is not None:
+        copies = dedup.removed(df.select(id_col, url_col, text_col), dedup.url_key(F.col(url_col), F.col(text_col)), id_col).withColumn("_copy", F.lit(True))
+        few = copies.limit(dedup.BROADCAST_IDS + 1).count() <= dedup.BROADCAST_IDS  # else the texts are shuffled by id
+        df = df.join(F.broadcast(copies) if few else copies, id_col, "left")
+        early = F.when(F.col("_copy"), "url_dedup:copy").otherwise(F.concat(F.lit("url_filter:"), quality.url(F.col(url_col))))
+    df = df.withColumn("_l", T.fixed(known)).withColumn("_early", T.fixed(F.coalesce(early, F.concat(F.lit("lang:"), L.reason(F.col("_l.lang"), F.col("_l.conf"), target)))))
+    df = df.withColumn("_j", judged(F.when(F.col("_early").isNull(), T.text_of(F.col(text_col)))))
+    df = df.withColumn("_grams", F.col("_j.g")).withColumn("_early", F.coalesce("_early", F.concat(F.lit("quality:"), F.col("_j.q"))))
+    df = df.withColumn("_early", T.fixed(F.coalesce("_early", F.when(F.col("_grams").isNotNull(), F.concat(F.lit("repetition:"), ngrams.reason(F.col(text_col)))))))
+    df = pii.masked(df.withColumn("_text", F.when(F.col("_early").isNull(), F.col(text_col))), "_text", max_density)
+    df = df.withColumn("_tox", F.when(F.col("_early").isNull(), toxicity.scored(F.col("masked_text")))).withColumn("toxicity", F.col("_tox.toxicity"))
     late = [F.when(F.col("pii_action").startswith("filtered"), F.concat(F.lit("pii_density:"), F.col("pii_action")))]
-    if toxicity_col in df.columns:
-        late.append(F.when(F.col(toxicity_col) >= toxic, "toxicity:score"))
-    df = df.withColumn("reason", F.coalesce("reason", *late)).withColumn("masked_text", F.when(F.col("reason").isNull(), F.col("masked_text")))
-    return df.drop("_first", "_url", "_lang", "_text")
+    if action == "filter":
+        late.append(F.when(F.col("_early").isNull() & toxicity.is_toxic(F.col("toxicity"), F.col("_tox.severe_toxicity")), "toxicity:score"))
+    df = df.withColumn("reason", T.fixed(F.coalesce("_early", *late))).withColumn("step", F.split_part("reason", F.lit(":"), F.lit(1)))
+    df = df.withColumn("masked_text", F.when(F.col("reason").isNull(), F.col("masked_text"))).withColumn("detected_lang", F.col("_l.lang")).withColumn("lang_conf", F.col("_l.conf"))
+    return df.drop("_copy", "_l", "_early", "_j", "_grams", "_text", "_tox")
 
 
-def step_statistics(df: DataFrame) -> DataFrame:
-    """``step, before, after, filtered, filter_rate`` from the reasons, in one pass."""
-    step = F.split_part("reason", F.lit(":"), F.lit(1))
-    counts = df.agg(F.count("*").alias("total"), *[F.count_if(F.coalesce(step == s, F.lit(False))).alias(s) for s in STEPS])
+def step_statistics(df: DataFrame, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """``step, before, after, filtered, filter_rate`` from the steps, in one pass; a step that drops nothing has a row, too."""
+    counts = df.agg(F.count("*").alias("total"), *[F.count_if(F.coalesce(F.col("step") == s, F.lit(False))).alias(s) for s in steps])
     before = F.col("total")
     rows = []
-    for s in STEPS:
+    for s in steps:
         rows.append(F.struct(F.lit(s).alias("step"), before.alias("before"), (before - F.col(s)).alias("after"), F.col(s).alias("filtered"), F.round(F.when(before > 0, F.col(s) / before).otherwise(0.0), 6).alias("filter_rate")))
         before = before - F.col(s)
     return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

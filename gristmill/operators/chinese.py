@@ -10,9 +10,9 @@ from gristmill.operators.quality import first_reason
 #: Ranges of ideographs.
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2CEB0}-\x{2EBEF}\x{F900}-\x{FAFF}"
 #: Characters that tell the traditional and the simplified script.
-TRADITIONAL = "們來時這個說國後會對應也從於他她學現發問題與為話體樣進過點還實際歷史關係政治經濟文化社展變"
-SIMPLIFIED = "们来时这个说国后会对应也从于他她学现发问题与为话实际体样进过还艺术电语书报纸间习新历史关系政治经济文化社展变"
-PUNCTUATION = "，。！？；：「」『』【】〔〕〈〉《》〖〗、·…—～\"'（）"
+TRADITIONAL = "們來時這個說國後會對應也從於他她學現發問題與為話體樣進過點還實際間愛藝術電語書報紙習工作生活歷史關係政治經濟文化社展變"
+SIMPLIFIED = "们来时这个说国后会对应也从于他她学现发问题与为话实际间点体样进过还爱艺术电语书报纸习工作生活历史关系政治经济文化社展变"
+PUNCTUATION = "，。！？；：「」『』【】〔〕〈〉《》〖〗、·…—～（）"
 #: Name, weight and pattern of the spam signals.
 SPAM = [
     ("star_rating_spam", 0.5, "[★☆]{3,}"), ("click_bait", 2.0, "(点击|立即|马上|快速)(下载|购买|领取|注册|登录)"), ("promo_lure", 2.0, "(免费|优惠|折扣|特价).{0,5}(领取|获取|下载)"),
@@ -96,3 +96,17 @@ def quality(c: Column) -> Column:
         (T.duplicate_share(long) > 0.50, "high_dup_lines"), (top_bigram_ratio(c) > 0.30, "high_bigram_rep"), (spam_score(c) > 0.35, "spam_score"),
         (T.strip(T.text_of(c)) == "", "too_few_paragraphs"),
     )
+
+
+def scores(c: Column) -> dict[str, Column]:
+    """The fourteen measures of a Chinese text, ratios to four places."""
+    r = char_ratios(c)
+    ls = F.filter(F.transform(F.split(T.text_of(c), "\n"), T.strip), lambda x: x != "")
+    long = F.filter(ls, lambda x: F.length(x) > 3)
+    paragraphs = F.filter(F.transform(F.split(T.text_of(c), "\n\n"), T.strip), lambda x: x != "")
+    ends = T.ratio(T.count_if(ls, lambda x: F.right(x, F.lit(1)).isin("。", "！", "？", "…")), F.size(ls))
+    return {
+        "zh_char_count": n_chinese(c).cast("bigint"), "total_chars": F.length(T.text_of(c)).cast("bigint"), "zh_char_ratio": r["chinese"], "latin_ratio": r["latin"], "digit_ratio": r["digit"], "punct_ratio": r["punct"],
+        "terminal_punct_ratio": F.round(ends, 4), "duplicate_line_ratio": F.round(T.duplicate_share(long), 4), "top_bigram_ratio": F.round(top_bigram_ratio(c), 4), "spam_score": F.round(spam_score(c), 4),
+        "paragraph_count": F.size(paragraphs).cast("bigint"), "line_count": F.size(ls).cast("bigint"), "estimated_tokens": estimated_tokens(c), "script_type": script(c),
+    }

@@ -1,7 +1,8 @@
 """Connected components of an edge table, without holding the graph anywhere at once."""
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,20 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, with its lineage cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session
-    that has none (tests on one machine) gets a folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. A session on one
+    machine that has none (as in tests) gets a folder of its own, gone when it ends; on a
+    cluster a missing setting raises, as no other folder is known to be shared.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not named:
-            named = os.path.join(tempfile.gettempdir(), "gristmill-checkpoints")
+            master = context.master or ""
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="gristmill-checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
     return df.checkpoint()
 

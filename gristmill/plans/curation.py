@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions import urls as U
-from gristmill.operators import cascade, chinese, dedup, measures, minhash, ngrams, pii, quality
+from gristmill.operators import chinese, dedup, measures, minhash
+from gristmill.operators.components import checkpointed
 from gristmill.plans import rules
 from gristmill.plans import sqlparts as S
 from gristmill.plans.rules import docs, r6
+from gristmill.scorers import linear
 from gristmill.sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -78,192 +80,126 @@ def duplicates_by_stripped_text(spark, sf):
     return table(spark, sf, "documents").select(F.md5(F.lower(T.strip(T.text_of(F.col("text"))))).alias("k")).agg((F.count("*") - F.countDistinct("k")).alias("n_duplicates"))
 
 
-_A, _B = minhash.coefficients(16)
+_A, _B = minhash.coefficients(128)
+#: Signatures of all documents in SQL; coefficients by the rule of the affine family.
+_SIGS = f"""shg AS (SELECT doc_id, {_NORM_TEXT} AS t FROM documents), shs AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(t) - 4) + 1), lambda i: substring(t, i, 5))) AS s FROM shg),
+ shh AS (SELECT doc_id, ('0x' || left(md5(x), 8))::BIGINT AS h FROM (SELECT doc_id, unnest(s) AS x FROM shs)), cf AS (SELECT unnest(range(0, 128)) AS i, unnest({_A}) AS a, unnest({_B}) AS b),
+ sv AS (SELECT doc_id, i::BIGINT AS i, min((a * h + b) % {minhash.PRIME})::BIGINT AS v FROM shh, cf GROUP BY ALL)"""
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_NORM_TEXT} AS t FROM documents), s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(t) - 4) + 1), lambda i: substring(t, i, 5))) AS s FROM t),
- h AS (SELECT doc_id, ('0x' || left(md5(x), 8))::BIGINT AS h FROM (SELECT doc_id, unnest(s) AS x FROM s)), c AS (SELECT unnest(range(0, 16)) AS i, unnest({_A}) AS a, unnest({_B}) AS b)
- SELECT doc_id, i::BIGINT AS i, min((a * h + b) % {minhash.PRIME})::BIGINT AS v FROM h, c GROUP BY ALL""")
+@query(f"WITH {_SIGS} SELECT doc_id, i, v FROM sv")
 def minhash_signatures(spark, sf):
-    """The first sixteen hashes of every document."""
-    sigs = minhash.signatures(table(spark, sf, "documents"), "doc_id", "text", 16)
+    """All 128 hashes of every document."""
+    sigs = minhash.signatures(table(spark, sf, "documents"), "doc_id", "text")
     return sigs.select(F.col("id").alias("doc_id"), F.posexplode("sig").alias("i", "v")).select("doc_id", F.col("i").cast("bigint").alias("i"), "v")
 
 
-@query()
+def _links_sql(bands: int) -> str:
+    """CTEs ending in ``lnk (a, b, sim)`` between class representatives, and ``mem (doc_id, rep)``."""
+    width = 128 // bands
+    return f"""{_SIGS}, sg AS (SELECT doc_id, list(v ORDER BY i) AS s FROM sv GROUP BY doc_id), mem AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM sg), rp AS (SELECT * FROM sg WHERE doc_id IN (SELECT rep FROM mem)),
+ bnd AS (SELECT doc_id, k, s[k * {width} + 1 : k * {width} + {width}] AS b FROM rp, (SELECT unnest(range(0, {bands})) AS k)), cnd AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bnd x JOIN bnd y ON x.k = y.k AND x.b = y.b AND x.doc_id < y.doc_id),
+ lnk AS (SELECT * FROM (SELECT cnd.a, cnd.b, len(list_filter(list_zip(x.s, y.s), lambda p: p[1] = p[2])) / 128.0::DOUBLE AS sim FROM cnd JOIN rp x ON x.doc_id = cnd.a JOIN rp y ON y.doc_id = cnd.b) WHERE sim >= 0.8)"""
+
+
+def _clusters_sql(bands: int) -> str:
+    """CTE ``cl (doc_id, cluster)``: the least id that links reach."""
+    return f"""RECURSIVE {_links_sql(bands)}, both_ AS (SELECT a, b FROM lnk UNION ALL SELECT b, a FROM lnk), reach AS (SELECT rep AS x, rep AS y FROM mem UNION SELECT r.x, e.b FROM reach r JOIN both_ e ON e.a = r.y), low AS (SELECT x, min(y) AS cluster FROM reach GROUP BY x), cl AS (SELECT mem.doc_id, low.cluster FROM mem JOIN low ON low.x = mem.rep)"""
+
+
+@query(f"WITH {_links_sql(8)} SELECT a, b, sim FROM lnk")
 def minhash_links(spark, sf):
     """Similar pairs of class representatives, eight bands of sixteen."""
     member, reps = minhash.classes(minhash.checkpointed(minhash.signatures(table(spark, sf, "documents"), "doc_id", "text")))
     return minhash.similar_pairs(reps)
 
 
-@query()
+@query(f"WITH {_clusters_sql(8)} SELECT doc_id, cluster FROM cl")
 def minhash_clusters(spark, sf):
     """The cluster of every document, by the reference's bands (8 of 16): a pair at similarity 0.8 is found with probability 0.20, at 0.88 with 0.67, at 0.9 with 0.81."""
     return minhash.clusters(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "cluster")
 
 
-@query()
+@query(f"WITH {_clusters_sql(32)} SELECT doc_id, cluster FROM cl")
 def minhash_clusters_dense(spark, sf):
     """The cluster of every document by 32 bands of 4, which miss next to no pair at similarity 0.8."""
     return minhash.clusters(table(spark, sf, "documents"), bands=32).select(F.col("id").alias("doc_id"), "cluster")
 
 
-@query()
+@query(f"WITH {_clusters_sql(8)} SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS n FROM cl GROUP BY cluster")
 def two_stage_dedup(spark, sf):
     """What is left after exact, then near duplicates are taken out; the first of each cluster stays."""
     c = minhash.clusters(table(spark, sf, "documents"))
     return c.groupBy("cluster").agg(F.min("id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
 
 
-_LANG = "coalesce(nullif(regexp_extract(lower(trim(lang)), '^([a-z]+)', 1), ''), 'unknown')"
-_CASCADE = rf"""{S.RULES}, {rules._REASONS},
- cas AS (SELECT q.doc_id, q.source, q.segment, q.alpha_ratio, q.stop_words, q.n_words, {_LANG} AS lg, q.quality, rep.repetition, CASE WHEN {_LANG} <> 'en' THEN 'lang:' || {_LANG} WHEN q.quality IS NOT NULL THEN 'quality:' || q.quality WHEN rep.repetition IS NOT NULL THEN 'repetition:' || rep.repetition END AS reason FROM q JOIN rep USING (doc_id))"""
-
-
-def _cascade(spark, sf):
-    return cascade.annotated(docs(spark, sf, "text", "lang", "source", "segment"))
-
-
-@query(f"WITH {_CASCADE} SELECT doc_id, reason FROM cas")
-def gen1_cascade(spark, sf):
-    """The first rule that every document fails, in the order language, quality, repetition."""
-    return _cascade(spark, sf).select("doc_id", "reason")
-
-
-@query(f"WITH {_CASCADE} SELECT coalesce(split_part(reason, ':', 1), 'kept') AS step, coalesce(split_part(reason, ':', 2), 'kept') AS category, count(*)::BIGINT AS n FROM cas GROUP BY ALL")
-def gen1_cascade_counts(spark, sf):
-    part = lambda k: F.coalesce(F.split_part("reason", F.lit(":"), F.lit(k)), F.lit("kept"))
-    return _cascade(spark, sf).groupBy(part(1).alias("step"), part(2).alias("category")).agg(F.count("*").alias("n"))
-
-
-@query()
-def gen1_full_cascade(spark, sf):
-    """The first step that drops every document, those by address and personal information included, and the masked text of what stays."""
-    return cascade.whole(docs(spark, sf, "text", "lang", "url")).select("doc_id", "reason", "masked_text", "n_pii")
-
-
-@query(f"""WITH {_CASCADE}, s AS (SELECT 1 AS k, 'lang' AS step, count(*) AS before, count(*) FILTER (reason LIKE 'lang:%') AS filtered FROM cas
- UNION ALL SELECT 2, 'quality', count(*) FILTER (reason IS NULL OR reason NOT LIKE 'lang:%'), count(*) FILTER (reason LIKE 'quality:%') FROM cas
- UNION ALL SELECT 3, 'repetition', count(*) FILTER (reason IS NULL OR reason LIKE 'repetition:%'), count(*) FILTER (reason LIKE 'repetition:%') FROM cas)
- SELECT step, before::BIGINT AS before, (before - filtered)::BIGINT AS after, filtered::BIGINT AS filtered, round(CASE WHEN before > 0 THEN filtered / before::DOUBLE ELSE 0 END, 6) AS filter_rate FROM s""")
-def gen1_step_statistics(spark, sf):
-    return cascade.step_statistics(_cascade(spark, sf))
-
-
 def scored(spark, sf):
-    """Documents with the stand-in score."""
-    c = F.col("text")
-    rows = docs(spark, sf, "text", "lang", "source", "segment").withColumn("n_words", T.n_words(c)).withColumn("sw", T.stop_word_count(c))
-    return rows.withColumn("score", F.round(T.alpha_ratio(c) * 0.6 + F.least(F.lit(1.0), F.when(F.col("n_words") > 0, F.col("sw") * 2.5 / F.col("n_words")).otherwise(0.0)) * 0.4, 4))
+    """Documents with the learned score, the evaluation score and the number of words."""
+    rows = linear.with_scores(docs(spark, sf, "text", "lang", "source", "segment"), names=("edu", "evaluation")).withColumn("n_words", T.n_words(F.col("text")))
+    return rows.withColumnRenamed("score_edu", "score").withColumnRenamed("score_evaluation", "eval_score")
 
 
 @query(f"WITH {S.SCORED}, c AS (SELECT quantile_cont(score, 0.9) AS threshold FROM s) SELECT doc_id, score, round(threshold, 6) AS threshold FROM s, c WHERE score >= threshold")
 def top_fraction_cut(spark, sf):
-    return measures.top_fraction(scored(spark, sf).select("doc_id", "score"), "score", 0.1).select("doc_id", "score", r6(F.col("threshold"), "threshold"))
+    """The best tenth by score, ties at the cut included; scores are written once, so that texts are read once."""
+    return measures.top_fraction(checkpointed(scored(spark, sf).select("doc_id", "score")), "score", 0.1).select("doc_id", "score", r6(F.col("threshold"), "threshold"))
 
 
-_SWEEP = f"""{S.SCORED}, th AS (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0])::DOUBLE AS fraction, unnest(quantile_cont(score, [0.95, 0.9, 0.85, 0.8, 0.7, 0.5, 0.25, 0.0])) AS threshold FROM s),
- sweep AS (SELECT fraction, round(threshold, 6) AS threshold, count(*)::BIGINT AS n, sum(n_words)::BIGINT AS n_words, round(avg(score), 6) AS mean_score, round(quantile_cont(score, 0.9), 6) AS p90 FROM s, th WHERE score >= threshold GROUP BY fraction, threshold)"""
+#: Fractions of the sweeps; a token is taken for four bytes.
+FRACTIONS = [0.05, 0.10, 0.15, 0.20, 0.30, 0.50, 0.70, 1.0]
+_SWEEP = f"""{S.SCORED}, th AS (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 1.0])::DOUBLE AS fraction, unnest(quantile_cont(score, [0.95, 0.9, 0.85, 0.8, 0.7, 0.5, 0.3, 0.0])) AS threshold FROM s),
+ sweep AS (SELECT fraction, round(threshold, 6) AS threshold, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM s)::DOUBLE, 6) AS retention, sum(n_words)::BIGINT AS n_words, (sum(octet_length(encode(t))) // 4)::BIGINT AS est_tokens, round(avg(score), 6) AS mean_score, round(avg(eval_score), 6) AS eval_mean, round(quantile_cont(eval_score, 0.9), 6) AS eval_p90, round(quantile_cont(eval_score, 0.5), 6) AS eval_p50 FROM s, th WHERE score >= threshold GROUP BY fraction, threshold)"""
 
 
 def _sweep(spark, sf):
-    s = scored(spark, sf).select("score", "n_words")
-    fractions = [0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0]
-    cuts = s.agg(F.percentile("score", F.array(*[F.lit(1 - f) for f in fractions])).alias("t"))
-    cuts = cuts.select(F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in fractions]).alias("fraction"), F.col("t").alias("threshold"))).alias("x")).select("x.fraction", "x.threshold")
+    s = checkpointed(scored(spark, sf).select("score", "eval_score", "n_words", F.octet_length(T.text_of(F.col("text"))).alias("bytes")))
+    cuts = s.agg(F.percentile("score", F.array(*[F.lit(round(1 - f, 2)) for f in FRACTIONS])).alias("t"), F.count("*").alias("total"))
+    cuts = cuts.select(F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in FRACTIONS]).alias("fraction"), F.col("t").alias("threshold"))).alias("x"), "total").select("x.fraction", "x.threshold", "total")
     rows = s.join(F.broadcast(cuts), F.col("score") >= F.col("threshold"))  # eight rows
-    return rows.groupBy("fraction", "threshold").agg(F.count("*").alias("n"), F.sum("n_words").alias("n_words"), r6(F.avg("score"), "mean_score"), r6(F.percentile("score", F.lit(0.9)), "p90")).withColumn("threshold", F.round("threshold", 6))
+    out = rows.groupBy("fraction", "threshold", "total").agg(
+        F.count("*").alias("n"), F.sum("n_words").alias("n_words"), F.floor(F.sum("bytes") / 4).alias("est_tokens"), r6(F.avg("score"), "mean_score"), r6(F.avg("eval_score"), "eval_mean"),
+        r6(F.percentile("eval_score", F.lit(0.9)), "eval_p90"), r6(F.percentile("eval_score", F.lit(0.5)), "eval_p50"),
+    )
+    return out.select("fraction", F.round("threshold", 6).alias("threshold"), "n", r6(F.col("n") / F.col("total"), "retention"), "n_words", "est_tokens", "mean_score", "eval_mean", "eval_p90", "eval_p50")
 
 
 @query(f"WITH {_SWEEP} SELECT * FROM sweep")
 def threshold_sweep(spark, sf):
+    """What remains, how good the independent evaluation finds it, and how many tokens it has, for eight fractions."""
     return _sweep(spark, sf)
 
 
-@query(f"WITH {_SWEEP} SELECT fraction, n, round(mean_score / n_words * 1000000, 6) AS per_million FROM sweep ORDER BY mean_score / n_words DESC, fraction LIMIT 1")
+@query(f"WITH {_SWEEP} SELECT fraction, n, round(eval_mean / est_tokens * 1000000, 6) AS per_million FROM sweep ORDER BY eval_mean / est_tokens DESC, fraction LIMIT 1")
 def best_threshold(spark, sf):
-    """The fraction of the most quality a word, the smallest of equals."""
+    """The fraction of the most quality for a million tokens, the smallest of equals."""
     s = _sweep(spark, sf)
-    return s.orderBy(F.desc(F.col("mean_score") / F.col("n_words")), "fraction").limit(1).select("fraction", "n", r6(F.col("mean_score") / F.col("n_words") * 1_000_000, "per_million"))
+    return s.orderBy(F.desc(F.col("eval_mean") / F.col("est_tokens")), "fraction").limit(1).select("fraction", "n", r6(F.col("eval_mean") / F.col("est_tokens") * 1_000_000, "per_million"))
 
 
 @query(f"""WITH {S.SCORED}, x AS (SELECT min(score) AS lo, max(score) AS hi FROM s), b AS (SELECT least(floor((score - lo) / ((hi - lo) / 50)), 49)::INT AS bin FROM s, x), c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
  SELECT r::INT AS bin, coalesce(n, 0)::BIGINT AS n FROM range(50) t(r) LEFT JOIN c ON bin = r""")
 def score_histogram(spark, sf):
-    return measures.histogram(scored(spark, sf).select("score"), "score", 50)
-
-
-_ROUTE = "CASE WHEN score >= 0.7 THEN 'high_quality' WHEN score >= 0.3 THEN 'medium_quality' WHEN score >= 0.1 THEN 'to_rephrase' ELSE 'discarded' END"
-
+    return measures.histogram(checkpointed(scored(spark, sf).select("score")), "score", 50)
 
-@query(f"WITH {S.SCORED} SELECT doc_id, score, {_ROUTE} AS route FROM s")
-def routing(spark, sf):
-    return scored(spark, sf).select("doc_id", "score", measures.route(F.col("score")).alias("route"))
 
-
-@query(f"WITH {S.SCORED}, g AS (SELECT {_ROUTE} AS route, count(*) AS n FROM s GROUP BY 1) SELECT route, n::BIGINT AS n, round(n / sum(n) OVER (), 6) AS rate FROM g")
-def routing_summary(spark, sf):
-    g = scored(spark, sf).groupBy(measures.route(F.col("score")).alias("route")).agg(F.count("*").alias("n"))
-    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("t")))).select("route", "n", r6(F.col("n") / F.col("t"), "rate"))  # four rows
-
-
-_ENSEMBLE = f"{S.SCORED}, e AS (SELECT doc_id, score AS a, round(least(1.0, n_words / 300.0), 4)::DOUBLE AS b, round(1 - score, 4) AS c FROM s)"
-
-
-def _ensemble(spark, sf):
-    return scored(spark, sf).select("doc_id", F.col("score").alias("a"), F.round(F.least(F.lit(1.0), F.col("n_words") / 300.0), 4).alias("b"), F.round(1 - F.col("score"), 4).alias("c"))
-
-
-@query(f"WITH {_ENSEMBLE} SELECT doc_id, greatest(a, b, c) AS union_score, least(a, b, c) AS intersection_score, round((0.4 * a + 0.4 * b + 0.2 * c) / 1.0, 4) AS weighted_score, greatest(a, b, c) >= 0.5 AS is_high FROM e")
-def ensemble_scores(spark, sf):
-    return _ensemble(spark, sf).select(
-        "doc_id", F.greatest("a", "b", "c").alias("union_score"), F.least("a", "b", "c").alias("intersection_score"), F.round((F.col("a") * 0.4 + F.col("b") * 0.4 + F.col("c") * 0.2) / 1.0, 4).alias("weighted_score"), (F.greatest("a", "b", "c") >= 0.5).alias("is_high"),
-    )
-
-
-@query(f"WITH {_ENSEMBLE}, x AS (SELECT count(*) FILTER (a >= 0.6) AS na, count(*) FILTER (b >= 0.6) AS nb, count(*) FILTER (c >= 0.6) AS nc, count(*) FILTER (greatest(a, b, c) >= 0.6) AS nu, count(*) AS n FROM e) SELECT na::BIGINT AS na, nb::BIGINT AS nb, nc::BIGINT AS nc, nu::BIGINT AS n_union, (nu - greatest(na, nb, nc))::BIGINT AS gain, round(nu / n::DOUBLE, 6) AS rate FROM x")
-def coverage_gain(spark, sf):
-    at = lambda *c: F.count_if((F.greatest(*c) if len(c) > 1 else F.col(c[0])) >= 0.6)
-    x = _ensemble(spark, sf).agg(at("a").alias("na"), at("b").alias("nb"), at("c").alias("nc"), at("a", "b", "c").alias("n_union"), F.count("*").alias("n"))
-    return x.select("na", "nb", "nc", "n_union", (F.col("n_union") - F.greatest("na", "nb", "nc")).alias("gain"), r6(F.col("n_union") / F.col("n"), "rate"))
-
-
-@query(f"WITH {_CASCADE}, k AS (SELECT doc_id, {S.SCORE} AS score FROM cas WHERE reason IS NULL), cut AS (SELECT quantile_cont(score, 0.9) AS threshold FROM k) SELECT doc_id, score FROM k, cut WHERE score >= threshold")
-def gen2_pipeline(spark, sf):
-    """Rule cascade, then the best tenth by score."""
-    kept = _cascade(spark, sf).where("reason IS NULL").select("doc_id")
-    return measures.top_fraction(scored(spark, sf).select("doc_id", "score").join(kept, "doc_id", "left_semi"), "score", 0.1).select("doc_id", "score")
-
-
-@query(f"WITH {_CASCADE}, k AS (SELECT doc_id, {S.SCORE} AS score FROM cas WHERE reason IS NULL) SELECT doc_id, score, {_ROUTE} AS route, score < 0.3 AS is_rewritten FROM k WHERE score >= 0.1")
-def gen3_pipeline(spark, sf):
-    """Rule cascade, routes, and the union of what is kept and what goes to the rewriter."""
-    kept = _cascade(spark, sf).where("reason IS NULL").select("doc_id")
-    s = scored(spark, sf).select("doc_id", "score").join(kept, "doc_id", "left_semi").withColumn("route", measures.route(F.col("score")))
-    good = s.where(F.col("route").isin("high_quality", "medium_quality")).withColumn("is_rewritten", F.lit(False))
-    return good.unionByName(s.where("route = 'to_rephrase'").withColumn("is_rewritten", F.lit(True)))
-
-
-@query(f"WITH {S.RULES}, x AS (SELECT doc_id, {S.SCORE} AS score, alpha_ratio, quality FROM q), h AS (SELECT * FROM x WHERE score >= 0.7) SELECT count(*)::BIGINT AS n_high, (count(*) FILTER (quality IS NOT NULL OR alpha_ratio < 0.7))::BIGINT AS would_be_dropped FROM h")
-def bypass_value(spark, sf):
-    """High scores that the strict rules would drop."""
-    ids = scored(spark, sf).where("score >= 0.7").select("text")
-    return ids.agg(F.count("*").alias("n_high"), F.count(quality.quality_in_batches(F.col("text"), min_alpha=0.7)).alias("would_be_dropped"))
-
-
-@query(f"WITH b AS (SELECT doc_id, len({S.words('coalesce(text, ' + chr(39) * 2 + ')')}) + 1 AS n FROM documents), o AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) AS e FROM b) SELECT doc_id, ((e - n) // 513)::BIGINT AS first_chunk, ((e - 1) // 513)::BIGINT AS last_chunk FROM o")
+@query(f"WITH b AS (SELECT doc_id, len({S.words('coalesce(text, ' + chr(39) * 2 + ')')}) + 1 AS n FROM documents), o AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) AS e FROM b), f AS (SELECT max(e) // 513 AS n_full FROM o) SELECT doc_id, ((e - n) // 513)::BIGINT AS first_chunk, least((e - 1) // 513, n_full - 1)::BIGINT AS last_chunk FROM o, f WHERE (e - n) // 513 < n_full")
 def chunk_packing(spark, sf):
-    """The fixed chunks of 513 that every document's words and end mark fall into, documents in the order of their ids.
+    """The full chunks of 513 that every document's words and end mark fall into, documents in the order of their ids; what falls into the unfinished last chunk is dropped.
 
-    Running totals go inside of ranges of ids; the totals of the ranges are added up apart.
+    Documents are split into ranges of ids by Spark's range partitioning. Running totals
+    go inside of a range, the totals of the ranges, one row for each partition, are added
+    up apart; no window goes over all rows.
     """
-    rows = docs(spark, sf, "text").select("doc_id", (T.n_words(F.col("text")) + 1).alias("n"), F.floor(F.col("doc_id") / 5000).alias("r"))
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs(spark, sf, "text").select("doc_id", (T.n_words(F.col("text")) + 1).alias("n"))
+    rows = checkpointed(rows.repartitionByRange(parts, "doc_id").select("doc_id", "n", F.spark_partition_id().alias("r")))
     per = rows.groupBy("r").agg(F.sum("n").alias("t"))
-    base = per.select("r", (F.sum("t").over(Window.orderBy("r")) - F.col("t")).alias("base"))  # one row for 5000 documents
-    e = rows.withColumn("e", F.sum("n").over(Window.partitionBy("r").orderBy("doc_id"))).join(base, "r")
+    base = per.select("r", (F.sum("t").over(Window.orderBy("r")) - F.col("t")).alias("base"))  # one row for each partition
+    full = per.agg(F.floor(F.sum("t") / 513).alias("full"))
+    e = rows.withColumn("e", F.sum("n").over(Window.partitionBy("r").orderBy("doc_id"))).join(F.broadcast(base), "r").crossJoin(F.broadcast(full))
     end = F.col("base") + F.col("e")
-    return e.select("doc_id", F.floor((end - F.col("n")) / 513).alias("first_chunk"), F.floor((end - 1) / 513).alias("last_chunk"))
+    out = e.select("doc_id", F.floor((end - F.col("n")) / 513).alias("first_chunk"), F.least(F.floor((end - 1) / 513), F.col("full") - 1).alias("last_chunk"), "full")
+    return out.where("first_chunk < full").drop("full")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 500")
@@ -351,7 +287,10 @@ def crawl_statistics(spark, sf):
     return g.agg(F.countDistinct("segment").alias("n_segments"), F.countDistinct("d").alias("n_domains"), r6(F.avg("n"), "mean_length"))
 
 
-@query()
+_ZH_NORMALIZED = f"SELECT rec_id, {rules._ZH_NORMAL} AS t FROM ({rules._ZH_ROWS})"
+
+
+@query(f"WITH {rules.zh_cte(_ZH_NORMALIZED)} SELECT rec_id, reason, script FROM zq")
 def gen1_zh_pipeline(spark, sf):
     """Chinese rows after detection, normal form and quality rules, with their script."""
     c = F.col("text")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.operators import lm, measures
+from gristmill.operators.components import checkpointed
 from gristmill.plans import sqlparts as S
 from gristmill.plans.curation import scored
 from gristmill.plans.rules import docs, r6
+from gristmill.scorers import ensemble, linear
 from gristmill.scorers import quality as clf
 from gristmill.sources.tables import spread, table
 
@@ -74,24 +76,22 @@ def toxicity_statistics(spark, sf):
     return table(spark, sf, "gen1_output").where("_toxicity_score IS NOT NULL").agg(F.count("*").alias("n"), r6(F.avg(x), "mean"), *measures.distribution(x, (0.5, 0.9, 0.95, 0.99)), r6(F.avg((x > 0.5).cast("int")), "rate_50"), r6(F.avg((x > 0.8).cast("int")), "rate_80"))
 
 
-@query(f"WITH t AS (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7, 0.85])::DOUBLE AS threshold), x AS (SELECT _toxicity_score AS x {_TOX}) SELECT threshold, (count(*) FILTER (x > threshold))::BIGINT AS n_toxic, round(avg((x > threshold)::INT), 6) AS rate FROM x, t GROUP BY threshold")
+@query(f"WITH t AS (SELECT unnest([0.3, 0.5, 0.7, 0.85, 0.9, 0.95])::DOUBLE AS threshold), x AS (SELECT _toxicity_score AS x {_TOX}) SELECT threshold, (count(*) FILTER (x > threshold))::BIGINT AS n_toxic, round(avg((x > threshold)::INT), 6) AS rate FROM x, t GROUP BY threshold")
 def toxicity_sweep(spark, sf):
     x = F.col("_toxicity_score")
-    cuts = [0.1, 0.2, 0.3, 0.5, 0.7, 0.85]
+    cuts = [0.3, 0.5, 0.7, 0.85, 0.9, 0.95]
     one = table(spark, sf, "gen1_output").where("_toxicity_score IS NOT NULL").agg(F.array(*[F.struct(F.lit(c).alias("threshold"), F.count_if(x > c).alias("n_toxic"), r6(F.avg((x > c).cast("int")), "rate")) for c in cuts]).alias("a"))
     return one.select(F.explode("a").alias("x")).select("x.*")
 
 
-_G = f"""g AS (SELECT rec_id, coalesce(text, '') AS t FROM gen1_output), gm AS (SELECT rec_id, t, len({S.words('t')}) AS n_words, {S.alpha('t')} AS alpha_ratio, {S.stop_count('t')} AS stop_words FROM g),
- gs AS (SELECT rec_id, n_words, round(0.6 * alpha_ratio + 0.4 * least(1.0, CASE WHEN n_words > 0 THEN 2.5 * stop_words / n_words ELSE 0.0 END), 4) AS score FROM gm),
+_G = f"""{S.metrics("SELECT rec_id, coalesce(text, '') AS t FROM gen1_output", "g", "gm").strip()}, gs AS (SELECT rec_id, n_words, {S.model("edu")} AS score FROM gm),
  lb AS (SELECT rec_id, max(llm_score) AS s FROM llm_labels WHERE llm_score IS NOT NULL GROUP BY 1), ev AS (SELECT gs.rec_id, score, n_words, (s >= 3)::INT AS y FROM gs JOIN lb USING (rec_id))"""
 
 
 def _labelled(spark, sf):
-    c = F.col("text")
     l = table(spark, sf, "llm_labels").where("llm_score IS NOT NULL").groupBy("rec_id").agg((F.max("llm_score") >= 3).cast("int").alias("y"))  # noqa: E741
-    g = spread(table(spark, sf, "gen1_output").select("rec_id", "text"), "rec_id").join(l, "rec_id").withColumn("n_words", T.n_words(c)).withColumn("sw", T.stop_word_count(c))
-    return g.select("rec_id", "n_words", "y", F.round(T.alpha_ratio(c) * 0.6 + F.least(F.lit(1.0), F.when(F.col("n_words") > 0, F.col("sw") * 2.5 / F.col("n_words")).otherwise(0.0)) * 0.4, 4).alias("score"))
+    g = spread(table(spark, sf, "gen1_output").select("rec_id", "text"), "rec_id").join(l, "rec_id").withColumn("n_words", T.n_words(F.col("text")))
+    return checkpointed(linear.with_scores(g, names=("edu",)).select("rec_id", "n_words", "y", F.col("score_edu").alias("score")))
 
 
 @query(f"""WITH {_G}, b AS (SELECT score, sum(y) AS p, sum(1 - y) AS q FROM ev GROUP BY 1), r AS (SELECT score, p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp, (SELECT sum(p) FROM b) AS np, (SELECT sum(q) FROM b) AS nq FROM b WINDOW w AS (ORDER BY score DESC)),
@@ -124,7 +124,7 @@ def adaptive_truncation(spark, sf):
 
 @query(f"WITH {S.SCORED}, c AS (SELECT quantile_cont(score, 0.9) AS t FROM s), f AS (SELECT doc_id, score, n_words, score >= c.t AS kept, abs(score - c.t) < 0.05 AS near FROM s, c) SELECT (count(*) FILTER (near))::BIGINT AS n_boundary, round(avg(n_words) FILTER (near), 6) AS words_inside, round(avg(n_words) FILTER (NOT near), 6) AS words_outside, (count(*) FILTER (kept))::BIGINT AS n_kept FROM f")
 def boundary_band(spark, sf):
-    s = scored(spark, sf).select("score", "n_words")
+    s = checkpointed(scored(spark, sf).select("score", "n_words"))
     s = s.crossJoin(F.broadcast(s.agg(F.percentile("score", F.lit(0.9)).alias("t"))))  # one row
     near = F.abs(F.col("score") - F.col("t")) < 0.05
     return s.agg(F.count_if(near).alias("n_boundary"), r6(F.avg(F.when(near, F.col("n_words"))), "words_inside"), r6(F.avg(F.when(~near, F.col("n_words"))), "words_outside"), F.count_if(F.col("score") >= F.col("t")).alias("n_kept"))
@@ -133,7 +133,7 @@ def boundary_band(spark, sf):
 @query(f"WITH {S.SCORED}, c AS (SELECT quantile_cont(score, 0.9) AS t FROM s), a AS (SELECT 'rejected_high' AS kind, doc_id, score FROM s, c WHERE score < c.t ORDER BY score DESC, doc_id LIMIT 5), b AS (SELECT 'kept_low' AS kind, doc_id, score FROM s, c WHERE score >= c.t ORDER BY score, doc_id LIMIT 5) FROM a UNION ALL FROM b")
 def error_analysis(spark, sf):
     """The five best rejected and the five worst kept documents of the top tenth."""
-    s = scored(spark, sf).select("doc_id", "score")
+    s = checkpointed(scored(spark, sf).select("doc_id", "score"))
     s = s.crossJoin(F.broadcast(s.agg(F.percentile("score", F.lit(0.9)).alias("t"))))  # one row
     pick = lambda kind, cond, order: s.where(cond).orderBy(order, "doc_id").limit(5).select(F.lit(kind).alias("kind"), "doc_id", "score")
     return pick("rejected_high", "score < t", F.desc("score")).unionByName(pick("kept_low", "score >= t", F.asc("score")))
@@ -145,20 +145,20 @@ def score_shape(spark, sf):
     return scored(spark, sf).agg(n.alias("n"), r6(F.min(x), "least"), r6(F.max(x), "most"), F.round(F.skewness(x) * F.sqrt(n * (n - 1.0)) / (n - 2), 4).alias("skew"), r6(F.avg((x < 0.1).cast("int")), "below"), r6(F.avg((x > 0.9).cast("int")), "above"), r6(F.stddev_pop(x), "std"))
 
 
-@query(rf"""WITH b AS (SELECT coalesce(text, '') AS t, coalesce(source, 'unknown') AS source FROM gen1_rejected), k AS (SELECT source, CASE WHEN regexp_matches(lower(t), 'porn|xxx|nude|naked|casino|viagra') THEN 'adult' WHEN length(t) < 300 THEN 'too_short' WHEN len(list_filter(string_split(t, chr(10)), lambda y: length({S.strip('y')}) < 30)) > 0.7 * (length(t) - length(replace(t, chr(10), ''))) THEN 'navigation' WHEN regexp_matches(lower(t), 'buy now|click here|subscribe|free shipping|limited offer|order now') THEN 'marketing' ELSE 'content' END AS kind FROM b)
+@query(rf"""WITH b AS (SELECT coalesce(text, '') AS t, coalesce(source, 'unknown') AS source FROM gen1_rejected), k AS (SELECT source, CASE WHEN regexp_matches(lower(t), 'porn|xxx|nude|sexy|granny|amateur') THEN 'adult' WHEN length(t) < 300 THEN 'too_short' WHEN len(list_filter(string_split(t, chr(10)), lambda y: length({S.strip('y')}) < 30)) > 0.7 * (length(t) - length(replace(t, chr(10), ''))) AND contains(t, chr(10)) THEN 'navigation' WHEN regexp_matches(lower(t), 'buy now|click here|subscribe|sign up|free shipping') THEN 'marketing' ELSE 'content' END AS kind FROM b)
  SELECT kind, count(*)::BIGINT AS n FROM k GROUP BY kind""")
 def content_kinds(spark, sf):
     c = T.text_of(F.col("text"))
     short = F.size(F.filter(F.split(c, "\n"), lambda x: F.length(T.strip(x)) < 30))
     breaks = F.length(c) - F.length(F.translate(c, "\n", ""))
-    kind = F.when(F.rlike(F.lower(c), F.lit("porn|xxx|nude|naked|casino|viagra")), "adult").when(F.length(c) < 300, "too_short").when(short > breaks * 0.7, "navigation").when(F.rlike(F.lower(c), F.lit("buy now|click here|subscribe|free shipping|limited offer|order now")), "marketing").otherwise("content")
+    kind = F.when(F.rlike(F.lower(c), F.lit("porn|xxx|nude|sexy|granny|amateur")), "adult").when(F.length(c) < 300, "too_short").when((breaks > 0) & (short > breaks * 0.7), "navigation").when(F.rlike(F.lower(c), F.lit("buy now|click here|subscribe|sign up|free shipping")), "marketing").otherwise("content")
     return spread(table(spark, sf, "gen1_rejected").select("rec_id", "text"), "rec_id").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {S.SCORED}, g AS (SELECT segment, avg(score) AS q, count(*) AS n, avg((score < 0.4)::INT) AS garbage FROM s GROUP BY segment) SELECT segment, round(q, 6) AS mean_score, n::BIGINT AS n, round(garbage, 6) AS garbage_rate, round(q * n / (SELECT sum(n) FROM g), 6) AS value FROM g")
+@query(f"WITH {S.SCORED}, g AS (SELECT segment, avg(score) AS q, count(*) AS n, avg((eval_score < 0.2)::INT) AS garbage FROM s GROUP BY segment) SELECT segment, round(q, 6) AS mean_score, n::BIGINT AS n, round(garbage, 6) AS garbage_rate, round(q * n / (SELECT sum(n) FROM g), 6) AS value FROM g")
 def value_ranking(spark, sf):
     """Mean score, garbage rate and quality times share of every segment."""
-    g = scored(spark, sf).groupBy("segment").agg(F.avg("score").alias("q"), F.count("*").alias("n"), r6(F.avg((F.col("score") < 0.4).cast("int")), "garbage_rate"))
+    g = scored(spark, sf).groupBy("segment").agg(F.avg("score").alias("q"), F.count("*").alias("n"), r6(F.avg((F.col("eval_score") < 0.2).cast("int")), "garbage_rate"))
     total = g.agg(F.sum("n").alias("t"))
     return g.crossJoin(F.broadcast(total)).select("segment", r6(F.col("q"), "mean_score"), "n", "garbage_rate", r6(F.col("q") * F.col("n") / F.col("t"), "value"))
 
@@ -183,18 +183,33 @@ def perplexity_buckets(spark, sf):
     return _ppl(spark, sf).where("ppl IS NOT NULL").groupBy(F.when(p < 300, "head").when(p < 1000, "middle").otherwise("tail").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH g AS (SELECT doc_id, CASE WHEN title IS NOT NULL THEN 'pass_all' WHEN prompt IS NOT NULL THEN 'borderline' ELSE 'filter_gen1' END AS expected, n_chars < 400 AS filtered FROM documents)
- SELECT CASE WHEN expected = 'borderline' THEN 'info' WHEN (expected = 'pass_all') = (NOT filtered) THEN 'pass' ELSE 'fail' END AS verdict, expected, count(*)::BIGINT AS n FROM g GROUP BY ALL""")
-def golden_verdicts(spark, sf):
-    """Verdicts of expected against actual outcomes, a length rule standing in for the pipeline."""
-    g = table(spark, sf, "documents").select(F.when(F.col("title").isNotNull(), "pass_all").when(F.col("prompt").isNotNull(), "borderline").otherwise("filter_gen1").alias("expected"), (F.col("n_chars") < 400).alias("f"))
-    v = F.when(F.col("expected") == "borderline", "info").when((F.col("expected") == "pass_all") == ~F.col("f"), "pass").otherwise("fail")
-    return g.groupBy(v.alias("verdict"), "expected").agg(F.count("*").alias("n"))
-
-
 @query()
 def quality_classifier(spark, sf):
     """Scores of a learned classifier (words and pairs of words, logistic regression) for every row."""
     g = spread(table(spark, sf, "gen1_output").select("rec_id", "text"), "rec_id")
     model = clf.train(g.join(F.broadcast(clf.labels(table(spark, sf, "llm_labels"))), "rec_id"))  # 20,000 labels at most
     return clf.score(model, g).select("rec_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def tfidf_classifier(spark, sf):
+    """Scores of a classifier over weighted words and pairs, abstracts and textbook samples against crawled documents, for every document."""
+    d = docs(spark, sf, "text", "title", "prompt", "url")
+    pos = d.where("title IS NOT NULL OR prompt IS NOT NULL").withColumn("label", F.lit(1.0))
+    neg = d.where("title IS NULL AND prompt IS NULL AND url IS NOT NULL").withColumn("label", F.lit(0.0))
+    # at most 20,000 of each class, by hash
+    cut = lambda x: x.orderBy(measures.hash_order(44, "doc_id"), "doc_id").limit(20_000).select("doc_id", "label")
+    some = d.join(F.broadcast(cut(pos).unionByName(cut(neg))), "doc_id").select("label", "text")
+    model = ensemble.Weighted.fit(some)
+    return model.score(d.select("doc_id", "text")).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def evaluation_classifier(spark, sf):
+    """Scores of the classifier that never filters, trained on other positives: textbook samples against crawled documents."""
+    d = docs(spark, sf, "text", "title", "prompt", "url")
+    pos = d.where("prompt IS NOT NULL").withColumn("label", F.lit(1.0))
+    neg = d.where("title IS NULL AND prompt IS NULL AND url IS NOT NULL").withColumn("label", F.lit(0.0))
+    cut = lambda x: x.orderBy(measures.hash_order(43, "doc_id"), "doc_id").limit(20_000).select("doc_id", "label")
+    some = d.join(F.broadcast(cut(pos).unionByName(cut(neg))), "doc_id").select("label", "text")  # 20,000 of each class at most
+    return ensemble.evaluation_scores(ensemble.evaluation_classifier(some), d.select("doc_id", "text")).select("doc_id", F.round("score", 4).alias("score"))
