@@ -1,15 +1,19 @@
 """Evaluation texts leaking into training text (problem 9).
 
 The words of a shard of documents, as dense numbers, get a suffix array (by doubling of
-ranks). Every suffix of every test item is binary-searched in the array of every shard,
-which gives all verbatim matches of at least ``SEED`` words with their places. Matches of
-one item in one document that lie along a common diagonal are put together; where they
-cover enough of the item, an alignment of the words decides whether the document holds a
-passage of at least half of the item in which at most one word in eight differs.
-
-Half of an item with one word in eight changed keeps a quarter of the item in runs of
-``SEED`` words or more, whatever the changed words are, so that no case is lost before the
-alignment.
+ranks, to the order of the first ``SEED`` words). Every suffix of every test item is
+binary-searched in the array of every shard, which gives all places where ``SEED`` words
+match; each is then followed word by word to its longest verbatim match, as the full order
+would give it. Matches of one item in one document that follow closely upon one another are
+put together; where they cover enough of the item, an alignment of the words decides whether
+the document holds a passage of at least half of the item in which at most one word in eight
+differs.
+
+A passage of n words with n / 8 of them changed, put in or left out keeps n / 2, a quarter
+of the item at least, in runs of ``SEED`` words or more, and no two such runs lie more than
+n / 2 words apart, wherever the changes stand: a change spoils ``SEED`` words at most. So
+matches belong together up to half of the item apart, and no case is lost before the
+alignment. An item of fewer than ``SEED`` words is only found as a whole.
 """
 from __future__ import annotations
 
@@ -27,8 +31,6 @@ SEED = 4
 MIN_PART, MAX_CHANGED, MIN_COVER = 0.5, 1 / 8, 0.25
 #: Words of a shard; items of one block of the query set.
 SHARD, ITEMS = 600_000, 4_000
-#: Matches on diagonals this far apart still belong to one passage.
-DRIFT = 6
 
 
 class SuffixArray:
@@ -103,58 +105,81 @@ def _passage(item: list[str], window: list[str]) -> tuple[int, int]:
 
 def _search(items: list[tuple[int, list[str]]]):
     """A task's search for the given items; pieces of the partition become shards."""
-    usable = [(i, ws) for i, ws in items if len(ws) >= SEED]
+    usable = [(i, ws) for i, ws in items if ws]
+
+    def matches(array: SuffixArray, numbers: np.ndarray, owner: np.ndarray, depth: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the test words and in the shard where ``depth`` words match, for the items in ``wanted``."""
+        at = np.arange(len(numbers) - depth + 1)
+        at = at[(owner[at] == owner[at + depth - 1]) & wanted[owner[at]]]
+        query = np.stack([numbers[at + k] for k in range(depth)], axis=1) if len(at) else np.zeros((0, depth), np.int64)
+        known = (query >= 0).all(axis=1)
+        at, query = at[known], query[known]
+        if not len(at):
+            return at, at
+        lo, hi = array.find(query)
+        n = hi - lo
+        which = np.repeat(at, n)
+        return which, array.order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
     def shard(ids: list, docs: list[list[str]], cache: lex.Hashes) -> pd.DataFrame:
         empty = pd.DataFrame({"doc_id": np.zeros(0, np.int64), "item_id": np.zeros(0, np.int64), "passage_words": np.zeros(0, np.int32), "verbatim_words": np.zeros(0, np.int32)})
         flat, starts = lex.flat_hashes(docs, cache)
-        if len(flat) < SEED or not usable:
+        if not len(flat) or not usable:
             return empty
         array = SuffixArray(flat)
         test, begin = lex.flat_hashes([ws for _, ws in usable], cache)
         numbers = array.ranks_of(test)
-        owner = np.repeat(np.arange(len(usable)), np.diff(begin))
-        at = np.arange(len(test) - SEED + 1)
-        at = at[owner[at] == owner[at + SEED - 1]]
-        query = np.stack([numbers[at + k] for k in range(SEED)], axis=1)
-        at, query = at[(query >= 0).all(axis=1)], query[(query >= 0).all(axis=1)]
-        if not len(at):
-            return empty
-        lo, hi = array.find(query)
-        n = hi - lo
-        which = np.repeat(np.arange(len(at)), n)
-        place = array.order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        sizes = np.diff(begin)
+        owner = np.repeat(np.arange(len(usable)), sizes)
+        rows: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def keep(d: int, i: int, part: int, run: int) -> None:
+            if part > rows.get((d, i), (0, 0))[0]:
+                rows[d, i] = (part, max(run, rows.get((d, i), (0, 0))[1]))
+
+        for k in range(1, SEED):  # short items, as a whole
+            t, place = matches(array, numbers, owner, k, sizes == k)
+            doc = np.searchsorted(starts, place, "right") - 1
+            for d, i in sorted(set(zip(doc[place + k <= starts[doc + 1]].tolist(), owner[t[place + k <= starts[doc + 1]]].tolist()))):
+                keep(d, i, k, k)
+        t, place = matches(array, numbers, owner, SEED, sizes >= SEED)
         doc = np.searchsorted(starts, place, "right") - 1
         inside = place + SEED <= starts[doc + 1]
-        which, place, doc = which[inside], place[inside], doc[inside]
-        item = owner[at[which]]
-        q = at[which] - begin[item]
-        diagonal = (place - starts[doc]) - q
-        found = []
-        # each match counts in two overlapping strips of diagonals
-        for half in (0, DRIFT // 2):
-            strip = (diagonal + half + 10_000_000) // DRIFT
-            order = np.lexsort((q, strip, item, doc))
-            d, i, s, p, pl = doc[order], item[order], strip[order], q[order], place[order]
+        t, place, doc = t[inside], place[inside], doc[inside]
+        if len(t):
+            item = owner[t]
+            # how far the words go on matching, all matches one word at a time while any does
+            length = np.full(len(t), SEED)
+            going = np.arange(len(t))
+            while len(going):
+                a, b = t[going] + length[going], place[going] + length[going]
+                more = (a < begin[item[going] + 1]) & (b < starts[doc[going] + 1])
+                going, a, b = going[more], a[more], b[more]
+                going = going[numbers[a] == array.tokens[b]]
+                length[going] += 1
+            order = np.lexsort((t, place, item, doc))
+            d, i, q, pl, run = doc[order], item[order], (t - begin[item])[order], place[order], length[order]
             new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (s[1:] != s[:-1])
-            # words of the item covered: a match adds what the one before doesn't reach
-            add = np.full(len(d), SEED)
-            add[1:] = np.minimum(SEED, p[1:] - p[:-1])
-            add[new] = SEED
-            group = np.cumsum(new) - 1
-            cover = np.bincount(group, weights=add)
+            new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (pl[1:] - pl[:-1] > sizes[i[1:]] // 2 + 2 * SEED)
             head = np.flatnonzero(new)
-            length = np.diff(begin)[i[head]]
-            good = np.flatnonzero(cover >= MIN_COVER * length)
-            found += [(int(d[h]), int(i[h]), int(pl[h] - starts[d[h]] - p[h])) for h in head[good]]
-        rows: dict[tuple[int, int], tuple[int, int]] = {}
-        for d, i, diag in sorted(set(found)):
-            ws = usable[i][1]
-            window = docs[d][max(0, diag - DRIFT) : diag + len(ws) + len(ws) // 4 + DRIFT]
-            part, run = _passage(ws, window)
-            if part >= MIN_PART * len(ws) and part > rows.get((d, i), (0, 0))[0]:
-                rows[d, i] = (part, run)
+            group = np.cumsum(new) - 1
+            # words of the item that the matches of a group cover, each once
+            wide = int(sizes.max()) + 1
+            held = np.unique(group * wide + q)
+            of, q_at = held // wide, held % wide
+            add = np.full(len(held), SEED)
+            add[1:] = np.where(of[1:] == of[:-1], np.minimum(SEED, q_at[1:] - q_at[:-1]), SEED)
+            cover = np.bincount(of, weights=add, minlength=len(head))
+            # the windows that the matches of a group point to, some words wider
+            size = sizes[i[head]]
+            first = np.minimum.reduceat(pl - q, head) - starts[d[head]] - size // 8 - SEED
+            last = np.maximum.reduceat(pl - q, head) - starts[d[head]] + size + size // 4 + SEED
+            longest = np.maximum.reduceat(run, head)
+            for g in np.flatnonzero(cover >= MIN_COVER * size):
+                ws = usable[i[head[g]]][1]
+                part = _passage(ws, docs[d[head[g]]][max(0, first[g]) : last[g]])[0]
+                if part >= MIN_PART * len(ws):
+                    keep(int(d[head[g]]), int(i[head[g]]), part, int(longest[g]))
         if not rows:
             return empty
         return pd.DataFrame({
@@ -187,7 +212,7 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     The items are the query set: they go to the tasks in blocks of ``ITEMS``, each block
     over all documents. Null and empty texts and prompts have no leaks; prompts of fewer
-    than ``SEED`` words can't be told from chance and have none. Repeated ids of documents
+    than ``SEED`` words are found as a whole only. Repeated ids of documents
     give a row each time they hold a passage; repeated item ids likewise.
     """
     queries = [(r["item_id"], lex.words(r["prompt"])) for r in items.where("prompt IS NOT NULL").select("item_id", "prompt").toLocalIterator()]

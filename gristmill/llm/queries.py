@@ -154,5 +154,24 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+_WORD = r"[\p{L}\p{N}]+"
+_IDEOGRAPH = r"([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}])"
+#: Share of the words of every row of both tables that lie in a run of four words occurring more than once.
+_SHARES = rf"""rows_ AS (SELECT 'gen1_output' AS table_name, rec_id AS row_id, text FROM gen1_output UNION ALL SELECT 'repetition_filter_audit', audit_id, text_preview FROM repetition_filter_audit),
+ w AS (SELECT table_name, row_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS ws FROM rows_), g AS (SELECT table_name, row_id, unnest(range(1, len(ws) - 2)) AS i, ws FROM w WHERE len(ws) >= 4), k AS (SELECT table_name, row_id, i, array_to_string(ws[i : i + 3], ' ') AS gram FROM g),
+ r AS (SELECT * FROM k QUALIFY count(*) OVER (PARTITION BY table_name, row_id, gram) > 1), c AS (SELECT table_name, row_id, count(DISTINCT i + d) AS covered FROM r, (SELECT unnest([0, 1, 2, 3]) AS d) GROUP BY ALL),
+ sh AS (SELECT table_name, row_id, len(ws)::BIGINT AS n_words, CASE WHEN len(ws) > 0 THEN coalesce(covered, 0) / len(ws)::DOUBLE ELSE 0.0 END AS share FROM w LEFT JOIN c USING (table_name, row_id))"""
+#: Pairs by brute force over sets of ``n`` consecutive words, ideographs as words of their own.
+_PAIRS = rf"""w AS (SELECT rec_id, text, regexp_extract_all(lower(regexp_replace(text, '{_IDEOGRAPH}', ' \1 ', 'g')), '{_WORD}') AS ws FROM gen1_output WHERE text <> ''),
+ s AS (SELECT DISTINCT rec_id, CASE WHEN len(ws) < 3 THEN text ELSE array_to_string(ws[i : i + 2], ' ') END AS sh, len(ws) < 3 AS short FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 1, 2))) AS i)),
+ n AS (SELECT rec_id, count(*) AS n FROM s GROUP BY 1), b AS (SELECT x.rec_id AS a, y.rec_id AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.short = y.short AND x.rec_id < y.rec_id GROUP BY ALL)
+ SELECT b.a AS rec_a, b.b AS rec_b FROM b JOIN n p ON p.rec_id = b.a JOIN n q ON q.rec_id = b.b WHERE k >= 0.6 * (p.n + q.n - k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose result is a plain count or comparison; models, estimates and packings have none."""
+    return {
+        "p1_found": f"WITH {_PAIRS}",
+        "p6_found": f"WITH {_SHARES} SELECT DISTINCT table_name, row_id FROM sh WHERE n_words >= 5 AND share >= 0.3",
+        "p6_share": f"WITH {_SHARES} SELECT table_name, row_id, n_words, round(share, 6) AS repeated_share FROM sh",
+    }

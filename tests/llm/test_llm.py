@@ -409,3 +409,32 @@ def test_stuffed_pages_model_is_of_all_prose(spark):
     # surprise of a text alone and among others
     whole = model.surprise(ids, begin)
     assert np.allclose(whole[begin[6] : begin[7]], model.surprise(ids[begin[6] : begin[7]], np.array([0, begin[7] - begin[6]])))
+
+
+def test_leaks_with_insertions_and_short_items(spark):
+    r = random.Random(11)
+    data, want = [], set()
+    for n, size in enumerate((40, 80, 160, 320, 640)):
+        item = words(r, size)
+        put_in = [w for k, w in enumerate(item) for w in ([w, f"new{r.randint(0, 99)}"] if k % 9 == 8 else [w])]
+        left_out = [w for k, w in enumerate(item) if k % 9 != 8]
+        clustered = list(item)
+        for k in range(size // 8):  # all changes in one place, four words apart
+            clustered[min(size - 1, size // 4 + 4 * k)] = "other"
+        spoiled = [w if k % 4 else "other" for k, w in enumerate(item)]
+        for j, ws in enumerate((put_in, left_out, clustered, item[: size // 2 + 1], spoiled)):
+            data.append((100 * n + j, " ".join(words(r, 300) + ws + words(r, 200))))
+            if j < 4:
+                want.add((100 * n + j, n))
+        data.append((100 * n + 9, None))
+        if n == 0:
+            items = []
+        items.append((n, " ".join(item)))
+    items += [(50, "zebra quartz"), (51, "lone")]
+    data += [(900, "a zebra, quartz b"), (901, "quartz zebra"), (902, "so lone it was")]
+    want |= {(900, 50), (902, 51)}
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    rows = leaks.leaked_items(docs, spark.createDataFrame(items, "item_id bigint, prompt string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in rows} == want
+    assert all(x["verbatim_words"] == 8 or x["verbatim_words"] == 9 for x in rows if x["doc_id"] % 100 == 0 and x["doc_id"] < 500)
+    assert all(x["verbatim_words"] >= (100 * 0 + 21) for x in rows if x["doc_id"] % 100 == 3)
