@@ -8,7 +8,10 @@ bit planes are stored vertically (one lane per class, in bucket order), the plan
 XORed with themselves shifted by s lanes, which compares every lane with the s-th next of
 its bucket at once, and carry-save counters add the planes up. Whole words of 64 lanes
 are abandoned as soon as all their distances exceed the radius. What remains is verified
-by the exact Jaccard similarity of the shingle sets.
+by the Jaccard similarity of the shingle sets, as sets of 32-bit hashes: these, not the
+texts, are sent to where a pair is compared. Two different shingles of a pair of texts of
+400 words have the same hash in one of some 25,000 pairs, which moves its similarity by a
+three-hundredth at most.
 """
 from __future__ import annotations
 
@@ -28,6 +31,8 @@ BITS = BANDS * ROWS
 RADIUS = 46
 #: Lanes of one comparison block; a bucket of more members is split into pairs of blocks.
 BLOCK = 2048
+#: Copies from which on the class of a text is broadcast instead of joined, at least.
+HOT = 10_000
 
 _rng = np.random.default_rng(20240131)
 _MUL = _rng.integers(1, 2**32, BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -228,18 +233,28 @@ def _pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def _verify(n: int, threshold: float):
+def _sets(n: int):
+    """The sets of the texts, as bytes of sorted 32-bit hashes."""
     def run(pdfs):
         cache = lex.Hashes()
-        for whole in pdfs:
-            for pdf in lex.batches([whole]):
-                sa, sb = sets(pdf["text_a"].tolist(), n, cache), sets(pdf["text_b"].tolist(), n, cache)
-                sim = []
-                for x, y in zip(sa, sb):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    sim.append(both / max(1, len(x) + len(y) - both))
-                out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": sim})
-                yield out[out["similarity"] >= threshold]
+        for pdf in lex.batches(pdfs):
+            made = [np.unique(s.astype(np.uint32)).tobytes() for s in sets(pdf["text"].tolist(), n, cache)]
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "hashes": made})
+
+    return run
+
+
+def _verify(threshold: float):
+    def run(pdfs):
+        for pdf in lex.batches(pdfs):
+            sim = []
+            for x, y in zip(pdf["hashes_a"], pdf["hashes_b"]):
+                both = np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())  # each set holds a hash once
+                sim.append(common / max(1, len(both) - common))
+            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": sim})
+            yield out[out["similarity"] >= threshold]
 
     return run
 
@@ -255,14 +270,20 @@ def links(signed: DataFrame, docs: DataFrame, n: int = 5, threshold: float = 0.8
     """(membership ``id, cid``; verified links ``a, b, similarity`` between different classes)."""
     spark = docs.sparkSession
     parts = spark.sparkContext.defaultParallelism * 4
-    reps = signed.groupBy("digest").agg(F.min("id").alias("cid"))
-    member = signed.select("id", "digest").join(reps, "digest").select("id", "cid")
-    # bands and sketch depend on the digest alone, so the row with the least id stands for its class
-    heads = signed.join(reps, "digest").where("id = cid").select("cid", "bands", "sketch")
-    rows = heads.select("cid", "sketch", F.explode("bands").alias("key"))
+    reps = checkpointed(signed.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("n_copies")))
+    # texts with very many copies are few, whatever the corpus: at most 100,000 of them hold 1/100,000 of the rows each;
+    # their classes are broadcast, so that their copies stay where they are
+    many = max(HOT, signed.count() // 100_000)
+    hot = F.broadcast(reps.where(F.col("n_copies") > many).select("digest", F.col("cid").alias("_hot")))
+    known = signed.select("id", "digest").join(hot, "digest", "left")
+    rest = known.where("_hot IS NULL").select("id", "digest").join(reps.where(F.col("n_copies") <= many).select("digest", "cid"), "digest")
+    member = known.where("_hot IS NOT NULL").select("id", F.col("_hot").alias("cid")).unionByName(rest.select("id", "cid"))
+    # bands and sketch depend on the digest alone, so the row with the least id stands for its class; ids are unique
+    heads = checkpointed(signed.join(reps.select(F.col("cid").alias("id")), "id", "left_semi").select(F.col("id").alias("cid"), "bands", "sketch"))
+    rows = heads.select("cid", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # keys of one member are gone after this join; what is left are classes that share a band
-    rows = rows.join(sizes, "key")
+    # keys of one member are gone after this join; what is left are classes that share a band, and only they get their sketch
+    rows = rows.join(sizes, "key").join(heads.select("cid", "sketch"), "cid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     plain = rows.where(f"n <= {BLOCK}").select("cid", "sketch", "key", F.lit(0).alias("side"))
@@ -280,11 +301,11 @@ def links(signed: DataFrame, docs: DataFrame, n: int = 5, threshold: float = 0.8
     near = checkpointed(near)
     texts = docs.where("id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("id", "text")
     wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    texts = texts.join(wanted, "id", "left_semi")
-    pairs = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
+    hashes = texts.join(wanted, "id", "left_semi").mapInPandas(_sets(n), "id bigint, hashes binary")
+    pairs = near.join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(
+        hashes.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b"
     )
-    edges = pairs.mapInPandas(_verify(n, threshold), "a bigint, b bigint, similarity double")
+    edges = pairs.mapInPandas(_verify(threshold), "a bigint, b bigint, similarity double")
     return member, checkpointed(edges)
 
 

@@ -50,6 +50,9 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     # the same with buckets split into blocks
     monkeypatch.setattr(near_duplicates, "BLOCK", 2)
     assert {tuple(x) for x in near_duplicates.near_duplicate_pairs(df, n=3, threshold=0.6).collect()} == want
+    # and with every text of two copies taken for one of very many
+    monkeypatch.setattr(near_duplicates, "HOT", 1)
+    assert {tuple(x) for x in near_duplicates.near_duplicate_pairs(df, n=3, threshold=0.6).collect()} == want
     groups = {x["rec_id"]: x["group_id"] for x in near_duplicates.near_duplicate_groups(df, n=3, threshold=0.6).collect()}
     assert len(groups) == len(rows) and all(groups[a] == groups[b] for a, b in want)
 
