@@ -218,8 +218,8 @@ def fit(labelled: list[tuple[str | None, bool | None]], background: list[str] =
     """
     blank = Model({}, np.zeros(1), np.zeros((1, RANK)), 0.0, {})
     own = [(line[1:], line[0] == "!") for line in labelled_abuse.ROWS.strip().split("\n")]
-    own += [(line[1:], False) for line in labelled_pages.PAGES.strip().split("\n")]
-    own += [(" ".join(line[1:] for line in labelled_pages.PAGES.strip().split("\n")[i : i + 4]), False) for i in range(0, 240, 3)]
+    calm = labelled_pages.harmless()
+    own += [(line, False) for line in calm] + [(" ".join(calm[i : i + 4]), False) for i in range(0, len(calm), 5)]
     rows = [(blank.tokens(t), y, False) for t, y in labelled if t and y is not None] + [(blank.tokens(t), y, True) for t, y in own]
     bags = [(_windows(ws), y, mine) for ws, y, mine in rows if ws]
     for t in background:

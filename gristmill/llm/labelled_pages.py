@@ -447,6 +447,12 @@ Name;Age;Town|Anna;31;Ostby|mill | stone | 1874 | open|height | 12 m | oak|Bolt
 Kind regards|Yours sincerely|Anna Lindqvist|Mit freundlichen Grüßen|Cordialement|Saludos|Tel. 0555 0142|Question: how deep is the lake?|Answer: nobody has measured it|Really?|Not at all!|No.|Ouch|until the next spring|but only in the morning
 """.strip().split("\n")
 
+def harmless() -> list[str]:
+    """All lines of the tables, for models that must not mistake them for something else."""
+    out = [x for rows in (MENU, LIST_HEADINGS, LOOSE) for row in rows for x in row.split("|")] + NOTICE + BODY
+    return [x.replace("{s}", "Northgate").replace("{a}", "bridges").replace("{b}", "lamps") for x in out]
+
+
 _SYLLABLES = "ba do fen gar hul lim mor nes ost pel rin sol tam ver wick yar zel bran cor dal".split()
 
 

@@ -270,7 +270,8 @@ def links(signed: DataFrame, docs: DataFrame, n: int = 5, threshold: float = 0.8
     """(membership ``id, cid``; verified links ``a, b, similarity`` between different classes)."""
     spark = docs.sparkSession
     parts = spark.sparkContext.defaultParallelism * 4
-    reps = checkpointed(signed.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("n_copies")))
+    # bands and sketch depend on the digest alone, so those of any of its rows are the class's
+    reps = checkpointed(signed.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     # texts with very many copies are few, whatever the corpus: at most 100,000 of them hold 1/100,000 of the rows each;
     # their classes are broadcast, so that their copies stay where they are
     many = max(HOT, signed.count() // 100_000)
@@ -278,12 +279,11 @@ def links(signed: DataFrame, docs: DataFrame, n: int = 5, threshold: float = 0.8
     known = signed.select("id", "digest").join(hot, "digest", "left")
     rest = known.where("_hot IS NULL").select("id", "digest").join(reps.where(F.col("n_copies") <= many).select("digest", "cid"), "digest")
     member = known.where("_hot IS NOT NULL").select("id", F.col("_hot").alias("cid")).unionByName(rest.select("id", "cid"))
-    # bands and sketch depend on the digest alone, so the row with the least id stands for its class; ids are unique
-    heads = checkpointed(signed.join(reps.select(F.col("cid").alias("id")), "id", "left_semi").select(F.col("id").alias("cid"), "bands", "sketch"))
-    rows = heads.select("cid", F.explode("bands").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # counted and joined on one and the same exchange of (class, band key)
+    rows = reps.select("cid", F.explode("bands").alias("key")).repartition(parts, "key")
+    sizes = rows.groupBy("key").agg(F.count("cid").alias("n")).where("n > 1")  # of the column, so that both sides need the same exchange
     # keys of one member are gone after this join; what is left are classes that share a band, and only they get their sketch
-    rows = rows.join(sizes, "key").join(heads.select("cid", "sketch"), "cid")
+    rows = rows.join(sizes, "key").join(reps.select("cid", "sketch"), "cid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     plain = rows.where(f"n <= {BLOCK}").select("cid", "sketch", "key", F.lit(0).alias("side"))
