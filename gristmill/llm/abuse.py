@@ -30,9 +30,7 @@ RANK = 6
 MAX_LABELLED = 5_000
 #: Bound of the texts that a loose score calls harmless, used as background.
 MAX_BACKGROUND = 500
-THRESHOLD = 0.85
-#: Labels of page navigation that speak to the reader.
-_LABELS = re.compile(r"you are here ?:|you may also like|you have \d+ free articles left")
+THRESHOLD = 0.7
 
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?![^\W_])")
 _SIGN = re.compile(r"[@$*.!|#€0-9+](?=[^\W\d_])|(?<=[^\W\d_])\*")
@@ -95,8 +93,6 @@ class Model:
             if _CYRILLIC.search(text):
                 text = text.translate(_MIXED)
         text = text.lower()
-        if "you " in text:
-            text = _LABELS.sub(" ", text)
         if _APART.search(text):
             text = _APART.sub(self._together, text)
         text = self._unmask_all(text)
@@ -214,7 +210,7 @@ def fit(labelled: list[tuple[str | None, bool | None]], background: list[str] =
 
     Rows of the sample whose fitted score contradicts their label strongly after the first
     round are taken for labelling errors and left out of the later ones. ``background``
-    are texts that a weak scorer found harmless; every second window of theirs counts as such, with half weight.
+    are texts that a weak scorer found harmless; their windows, one after the other, count as such.
     """
     blank = Model({}, np.zeros(1), np.zeros((1, RANK)), 0.0, {})
     own = [(line[1:], line[0] == "!") for line in labelled_abuse.ROWS.strip().split("\n")]
@@ -224,7 +220,7 @@ def fit(labelled: list[tuple[str | None, bool | None]], background: list[str] =
     bags = [(_windows(ws), y, mine) for ws, y, mine in rows if ws]
     for t in background:
         ws = blank.tokens(t)
-        for i in range(0, len(ws), 2 * WINDOW):
+        for i in range(0, len(ws), WINDOW):
             bags.append(([sorted(set(ws[i : i + WINDOW]))], False, None))
     vocab: dict[int, int] = {}
     counts: dict[str, list[int]] = {}

@@ -33,6 +33,8 @@ RADIUS = 46
 BLOCK = 2048
 #: Copies from which on the class of a text is broadcast instead of joined, at least.
 HOT = 10_000
+#: Ids up to this number are broadcast (8 bytes each, some 50 MB as a table).
+BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(20240131)
 _MUL = _rng.integers(1, 2**32, BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -301,7 +303,9 @@ def links(signed: DataFrame, docs: DataFrame, n: int = 5, threshold: float = 0.8
     near = checkpointed(near)
     texts = docs.where("id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("id", "text")
     wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    hashes = texts.join(wanted, "id", "left_semi").mapInPandas(_sets(n), "id bigint, hashes binary")
+    # few ids are broadcast, so that only the hashes of the texts wanted are shuffled, not all texts; many are joined by a shuffle
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    hashes = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInPandas(_sets(n), "id bigint, hashes binary")
     pairs = near.join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(
         hashes.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b"
     )

@@ -441,3 +441,19 @@ def test_leaks_with_insertions_and_short_items(spark):
     assert {(x["doc_id"], x["item_id"]) for x in rows} == want
     assert all(x["verbatim_words"] == 8 or x["verbatim_words"] == 9 for x in rows if x["doc_id"] % 100 == 0 and x["doc_id"] < 500)
     assert all(x["verbatim_words"] >= (100 * 0 + 21) for x in rows if x["doc_id"] % 100 == 3)
+
+
+def test_abuse_of_unseen_wording(machine):
+    bad = [
+        "What a stupid moron you are, shut up already.", "You filthy bastard, I will break your legs.", "These foreigners are vermin, drive them out of the town.", "Such an idiot, nobody asked you, worthless loser.",
+        "Fuck off, you ugly cunt.", "Du bist doch ein Arschloch, halt die Fresse.", "Quel connard, ferme ta gueule.", "Cállate ya, hijo de puta.", "You are s t u p i d, you m o r o n.", "what an 1d10t, you st*pid m0ron",
+    ]
+    good = [
+        "You are the best of the class and we are proud of you.", "They are all welcome, and every one of them brings a cake.", "The vermin in the barn were driven out by two cats.", "A stupid mistake in the plan cost them a week.", "What they did to the bridge was a shame.",
+        "The film shows how cruel the guards were to the prisoners.", "Breast milk is best for the baby in the first months.", "Only a few of them are left.", "Adult education and evening classes in Middlesex", "Shut the gate, you may lose a goat.",
+    ]
+    s = machine.score(bad + good)
+    assert (s[: len(bad)] >= abuse.THRESHOLD).sum() >= 9 and (s[len(bad) :] < abuse.THRESHOLD).sum() >= 8
+    # pairs of words decide: without their vectors fewer are found
+    alone = abuse.Model(machine.rows, machine.w, np.zeros_like(machine.v), machine.w0, machine.masked)
+    assert (alone.score(bad) >= abuse.THRESHOLD).sum() < (s[: len(bad)] >= abuse.THRESHOLD).sum()
