@@ -290,4 +290,11 @@ ROWS = """
 !erotic massage and nude girls with a happy ending
 !nude girls, erotic clips, all free
 !not one person will cry for a worm like you
+!porn tube with free hd videos
+!free porn and xxx clips
+=The wall you are leaning on was built of soft stone.
+=That was the first to be moved, and you are the next in line.
+=It is tempting to tell you why you are right.
+=Only a dozen of the old stones are still there.
+=Only five hundred of the copies are left, and only a few are clean.
 """

@@ -438,10 +438,12 @@ def rows(copies: int = 7, seed: int = 5) -> list[tuple[str, list[tuple[int, int,
             text += template[at:]
             out.append((text, spans))
     # pages without any: lines one below the other
-    furniture = [line[1:] for line in labelled_pages.PAGES.strip().split("\n")] + labelled_pages.LIST_HEADINGS.strip().split("\n")
+    furniture = [line for line in labelled_pages.harmless() if line not in ("Anna Lindqvist", "Tel. 0555 0142") and "Okoro" not in line and "Lind, A." not in line]
     titles = [f"{b}{a} In {p}" for b in ("", "- ", "> ") for a, p in zip(("Worn Track", "Keen Gauge", "Dry Broker", "Odd Spoke", "Grey Hull"), _PLACES)]
     for _ in range(60):
-        lines = fill.r.sample(furniture, 5) + fill.r.sample(titles, 3)
+        short = [x for x in fill.r.sample(furniture, 40) if len(x) < 16][:6]
+        numbers = [", ".join(f"{fill.r.uniform(-40, 900):.{fill.r.randint(1, 4)}f}" for _ in range(5)) + fill.r.choice(["", "", ".", "..."]) for _ in range(2)]
+        lines = fill.r.sample(furniture, 5) + fill.r.sample(titles, 3) + [fill.r.choice([" · ", " | ", " » ", " / "]).join(short), *numbers]
         fill.r.shuffle(lines)
         out.append(("\n".join(lines), []))
     return out

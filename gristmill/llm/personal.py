@@ -332,12 +332,11 @@ _SHAPES = {
     "street_address": re.compile(r"[^|»;:@<>=\[\]{}]+"),
     "person_name": re.compile(r"[^\W\d_][\w.,'’·\s-]*"),
 }
-_LIMITS = {"email": 100, "phone": 80, "id_number": 24, "street_address": 100, "person_name": 60}
 
 
 def plausible(kind: str, text: str, before: str = "") -> bool:
     """Whether a labelled stretch can be what its label says, by its characters alone."""
-    if len(text) > _LIMITS[kind] or text.count("\n") > 2 or not _SHAPES[kind].fullmatch(text):
+    if text.count("\n") > 2 or not _SHAPES[kind].fullmatch(text):
         return False
     digits = sum(c.isdigit() for c in text)
     ws = re.findall(r"[^\W\d_]+", text)
@@ -392,7 +391,7 @@ def entities(tagger: Tagger, texts: list[str | None]) -> list[tuple[int, int, in
         if i not in spans_of:
             spans_of = {i: [m.span() for m in TOKEN.finditer(texts[i])]}
         begin, end = spans_of[i][b][0], spans_of[i][e - 1][1]
-        span = refined(TYPES[kind], texts[i], begin, end) if end - begin < 400 else None
+        span = refined(TYPES[kind], texts[i], begin, end)
         if span and (i, *span, TYPES[kind]) not in out[-3:]:
             out.append((i, *span, TYPES[kind]))
     return out

@@ -12,6 +12,7 @@ from __future__ import annotations
 import pickle
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -275,22 +276,25 @@ def _single(pdfs):
 
 def _chunks(pdfs):
     for pdf in pdfs:
-        yield pd.DataFrame({"row": pdf["row"], "rec_id": pdf["rec_id"], "at": pdf["at"], "state": [pickle.dumps(chunk_state(t)) for t in pdf["chunk"]]})
+        yield pd.DataFrame({"row": pdf["row"], "rec_id": pdf["rec_id"], "at": pdf["at"], "n": np.ones(len(pdf), np.int32), "state": [pickle.dumps(chunk_state(t)) for t in pdf["chunk"]]})
 
 
 def _merge_group(pdf: pd.DataFrame, wt: dict[str, float]) -> pd.DataFrame:
+    """One state of neighbouring ones. Rows of the same id and text have the same states: each counts once, and ``n`` says how many rows there were."""
     main_body.use(wt)
-    pdf = pdf.sort_values("at")
-    states = [pickle.loads(s) for s in pdf["state"]]
+    pdf = pdf.sort_values("at", kind="stable")
+    at = pdf["at"].to_numpy()
+    n = int(pdf["n"].iloc[0]) * int((at == at[0]).sum())
+    states = [pickle.loads(s) for s in pdf["state"][np.append(True, at[1:] != at[:-1])]]
     state = states[0]
     for other in states[1:]:
         state = merge(state, other)
-    return pd.DataFrame({"row": pdf["row"][:1], "rec_id": pdf["rec_id"][:1], "at": pdf["at"][:1] // FAN, "state": [pickle.dumps(state)]})
+    return pd.DataFrame({"row": pdf["row"][:1], "rec_id": pdf["rec_id"][:1], "at": pdf["at"][:1] // FAN, "n": np.array([n], np.int32), "state": [pickle.dumps(state)]})
 
 
 def _root(pdfs):
     for pdf in pdfs:
-        yield _frame([_row(i, finish(pickle.loads(s))) for i, s in zip(pdf["rec_id"], pdf["state"])])
+        yield _frame([_row(i, finish(pickle.loads(s))) for i, n, s in zip(pdf["rec_id"], pdf["n"], pdf["state"]) for _ in range(n)])
 
 
 def text_statistics(df: DataFrame, id_col: str = "rec_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -302,18 +306,12 @@ def text_statistics(df: DataFrame, id_col: str = "rec_id", text_col: str = "text
     """
     rows = spread(df.select(F.col(id_col).alias("rec_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "rec_id")
     short = rows.where(F.length("text") <= chunk).mapInPandas(main_body.shipped(_single), _OUT)
-    state = "row binary, rec_id bigint, at bigint, state binary"
-    # rows of the same id and text have the same statistics; a number among them keeps them apart
-    long = rows.where(F.length("text") > chunk).groupBy("rec_id", "text").count()
+    state = "row binary, rec_id bigint, at bigint, n int, state binary"
+    # chunks go by the hash of their text and the id; no whole text is moved
     starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
-    parts = long.select(
-        F.unhex(F.sha2("text", 256)).alias("row"), "rec_id", "count", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))).alias("at", "chunk")
-    )
+    parts = rows.where(F.length("text") > chunk).select(F.unhex(F.sha2("text", 256)).alias("row"), "rec_id", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))).alias("at", "chunk"))
     states = parts.select("row", "rec_id", F.col("at").cast("bigint").alias("at"), "chunk").mapInPandas(main_body.shipped(_chunks), state)
     wt = main_body.fitted_weights()
     for _ in range(2):  # FAN * FAN chunks are more than one string can have
         states = states.groupBy("row", "rec_id", F.floor(F.col("at") / FAN).alias("up")).applyInPandas(lambda pdf: _merge_group(pdf, wt), state)
-    copies = long.select(F.unhex(F.sha2("text", 256)).alias("row"), "rec_id", "count").where("count > 1")
-    roots = states.mapInPandas(main_body.shipped(_root), _OUT)
-    again = copies.select("rec_id", F.explode(F.sequence(F.lit(2), F.col("count").cast("int"))).alias("k")).drop("k")
-    return short.unionByName(roots).unionByName(roots.join(again, "rec_id"))
+    return short.unionByName(states.mapInPandas(main_body.shipped(_root), _OUT))
