@@ -1,8 +1,6 @@
 """Near duplicates by min-hash signatures, banding, and connected components."""
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,16 +20,20 @@ def coefficients(n: int = N_HASHES) -> tuple[list[int], list[int]]:
     return [(1_103_515_245 * (i + 1) + 12_345) % 2_147_483_647 for i in range(n)], [(1_664_525 * (i + 7) + 1_013_904_223) % 2_147_483_647 for i in range(n)]
 
 
-def shingles(text: str, n: int = SHINGLE) -> set[str]:
-    return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
+#: Base and modulus of the hash of a shingle, a polynomial over its characters.
+BASE, MODULUS = 1_000_003, 4_294_967_291
 
 
-class _Base(dict):
-    def __missing__(self, shingle: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[shingle] = int(hashlib.md5(shingle.encode()).hexdigest()[:8], 16)
-        return h
+def shingle_hashes(text: str, n: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes, below 2^32, of all runs of ``n`` characters; of the whole text if it is shorter."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = min(n, len(c))
+    if not n:
+        return np.zeros(1, np.uint64)
+    h = c[: len(c) - n + 1]
+    for k in range(1, n):
+        h = (h * np.uint64(BASE) + c[k : len(c) - n + 1 + k]) % np.uint64(MODULUS)
+    return np.unique(h)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, n_hashes: int = N_HASHES) -> DataFrame:
@@ -40,11 +42,13 @@ def signatures(df: DataFrame, id_col: str, text_col: str, n_hashes: int = N_HASH
 
     @F.pandas_udf("array<bigint>")
     def sign(s: pd.Series) -> pd.Series:
-        base = _Base()
         out = []
         for t in s:
-            h = np.array([base[x] for x in shingles(t)], dtype=np.uint64)
-            out.append(((a[:, None] * h[None, :] + b[:, None]) % np.uint64(PRIME)).min(axis=1).astype(np.int64))
+            h = shingle_hashes(t)
+            least = np.full(n_hashes, np.iinfo(np.uint64).max, np.uint64)
+            for i in range(0, len(h), 4096):  # a very long text in pieces
+                least = np.minimum(least, ((a[:, None] * h[None, i : i + 4096] + b[:, None]) % np.uint64(PRIME)).min(axis=1))
+            out.append(least.astype(np.int64))
         return pd.Series(out)
 
     rows = spread(df.select(F.col(id_col).alias("id"), T.fingerprint_text(F.col(text_col)).alias("t")), "id")
@@ -63,11 +67,24 @@ def band_rows(sigs: DataFrame, bands: int = BANDS) -> DataFrame:
     return sigs.select("id", F.posexplode(cut).alias("band", "bucket"))
 
 
+#: Copies from which on the class of a signature is broadcast instead of joined, at least.
+HOT = 10_000
+
+
 def classes(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``id, rep``; ``id, sig`` of the representatives) of equal signatures."""
-    key = F.xxhash64("sig")
-    reps = sigs.select(key.alias("k"), "sig", "id").groupBy("k", "sig").agg(F.min("id").alias("rep"))
-    member = sigs.join(reps.select("sig", "rep"), "sig").select("id", "rep")
+    """(``id, rep``; ``id, sig`` of the representatives) of equal signatures.
+
+    Classes go by 64 bits of their signature. Those with very many members are few, whatever
+    the corpus (at most 100,000 hold 1/100,000 of the rows each); they are broadcast, so that
+    their members stay where they are.
+    """
+    keyed = sigs.select("id", F.xxhash64("sig").alias("k"), "sig")
+    reps = checkpointed(keyed.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")))
+    many = max(HOT, (reps.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    hot = F.broadcast(reps.where(F.col("n") > many).select("k", F.col("rep").alias("_hot")))
+    known = keyed.select("id", "k").join(hot, "k", "left")
+    rest = known.where("_hot IS NULL").select("id", "k").join(reps.where(F.col("n") <= many).select("k", "rep"), "k")
+    member = known.where("_hot IS NOT NULL").select("id", F.col("_hot").alias("rep")).unionByName(rest.select("id", "rep"))
     return member, reps.select(F.col("rep").alias("id"), "sig")
 
 

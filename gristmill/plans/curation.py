@@ -83,7 +83,7 @@ def duplicates_by_stripped_text(spark, sf):
 _A, _B = minhash.coefficients(128)
 #: Signatures of all documents in SQL; coefficients by the rule of the affine family.
 _SIGS = f"""shg AS (SELECT doc_id, {_NORM_TEXT} AS t FROM documents), shs AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, length(t) - 4) + 1), lambda i: substring(t, i, 5))) AS s FROM shg),
- shh AS (SELECT doc_id, ('0x' || left(md5(x), 8))::BIGINT AS h FROM (SELECT doc_id, unnest(s) AS x FROM shs)), cf AS (SELECT unnest(range(0, 128)) AS i, unnest({_A}) AS a, unnest({_B}) AS b),
+ shh AS (SELECT DISTINCT doc_id, coalesce(list_reduce(list_transform(string_split(x, ''), lambda c: unicode(c)::BIGINT), lambda p, c: (p * 1000003 + c) % 4294967291), 0) AS h FROM (SELECT doc_id, unnest(s) AS x FROM shs)), cf AS (SELECT unnest(range(0, 128)) AS i, unnest({_A}) AS a, unnest({_B}) AS b),
  sv AS (SELECT doc_id, i::BIGINT AS i, min((a * h + b) % {minhash.PRIME})::BIGINT AS v FROM shh, cf GROUP BY ALL)"""
 
 

@@ -155,12 +155,12 @@ def content_kinds(spark, sf):
     return spread(table(spark, sf, "gen1_rejected").select("rec_id", "text"), "rec_id").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {S.SCORED}, g AS (SELECT segment, avg(score) AS q, count(*) AS n, avg((eval_score < 0.2)::INT) AS garbage FROM s GROUP BY segment) SELECT segment, round(q, 6) AS mean_score, n::BIGINT AS n, round(garbage, 6) AS garbage_rate, round(q * n / (SELECT sum(n) FROM g), 6) AS value FROM g")
+@query(f"WITH {S.SCORED}, g AS (SELECT segment, avg(score) AS q, count(*) AS n, avg((eval_score < 0.2)::INT) AS garbage FROM s GROUP BY segment) SELECT segment, round(q, 6) AS mean_score, n::BIGINT AS n, round(garbage, 6) AS garbage_rate, round(q * n / (SELECT sum(n) FROM g), 4) AS value FROM g")
 def value_ranking(spark, sf):
     """Mean score, garbage rate and quality times share of every segment."""
     g = scored(spark, sf).groupBy("segment").agg(F.avg("score").alias("q"), F.count("*").alias("n"), r6(F.avg((F.col("eval_score") < 0.2).cast("int")), "garbage_rate"))
     total = g.agg(F.sum("n").alias("t"))
-    return g.crossJoin(F.broadcast(total)).select("segment", r6(F.col("q"), "mean_score"), "n", "garbage_rate", r6(F.col("q") * F.col("n") / F.col("t"), "value"))
+    return g.crossJoin(F.broadcast(total)).select("segment", r6(F.col("q"), "mean_score"), "n", "garbage_rate", F.round(F.col("q") * F.col("n") / F.col("t"), 4).alias("value"))
 
 
 _W = S.words("lower(coalesce(text, ''))")

@@ -122,8 +122,8 @@ def gen1_output_texts(spark, sf):
     return kept.select("doc_id", "masked_text", F.col("n_pii").cast("bigint").alias("n_pii"), F.col("detected_lang").alias("lang"), F.col("lang_conf").alias("conf"), "toxicity")
 
 
-@query(f"""WITH {STATE}, d AS (SELECT step, reason, count(*) AS n FROM st WHERE reason IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY n DESC, reason) AS k FROM d)
- SELECT step, reason, n::BIGINT AS n, round(n / sum(n) OVER (PARTITION BY step), 6) AS of_step FROM r WHERE k <= 100""")
+@query(f"""WITH {STATE}, rd_ AS (SELECT step, reason, count(*) AS n FROM st WHERE reason IS NOT NULL GROUP BY ALL), rr_ AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY n DESC, reason) AS k FROM rd_)
+ SELECT step, reason, n::BIGINT AS n, round(n / sum(n) OVER (PARTITION BY step), 6) AS of_step FROM rr_ WHERE k <= 100""")
 def gen1_reason_details(spark, sf):
     """The hundred most frequent reasons of every step, with their shares of it; reasons are few, whatever the corpus."""
     from pyspark.sql import Window
