@@ -1,6 +1,8 @@
 """Measures of a corpus: diversity, entropy, distributions, classifier quality, cuts and routes."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,55 @@ def ngram_counts(df: DataFrame, sizes: tuple[int, ...], text_col: str = "text")
     return rows.groupBy("n", "gram").agg(F.count("*").alias("c"))
 
 
+class _Words(dict):
+    """word -> 64-bit hash, the same in every process; emptied when it gets large."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def hashed_ngrams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """For each of ``sizes`` (ascending) the 64-bit hashes of the runs of so many lower-case words; empty for a text that is too short.
+
+    An Arrow function: a text's words are hashed once and the hashes mixed by arrays, where
+    expressions over arrays of words would make every n-gram as a string.
+    """
+
+    @F.pandas_udf("array<array<bigint>>")
+    def run(s: pd.Series) -> pd.Series:
+        known = _Words()
+        out = []
+        for t in s:
+            h = np.array([known[w] for w in t.lower().split()] if t else [], dtype=np.uint64)
+            gram, made, at = h, [], 1
+            for n in sizes:
+                while at < n:
+                    gram = _mixed(gram[: max(0, len(gram) - 1)] + np.uint64(0x9E3779B97F4A7C15)) ^ h[at:] if len(h) > at else h[:0]
+                    at += 1
+                made.append(gram.view(np.int64))
+            out.append(made)
+        return pd.Series(out)
+
+    return run(text)
+
+
 def ngram_diversity(df: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4), text_col: str = "text") -> DataFrame:
     """``n, n_unique, n_total, diversity``. Counts of hashed n-grams: 64 bits a gram are shuffled, partly summed before."""
-    per = F.array(*[F.struct(F.lit(n).alias("n"), F.transform(word_ngrams(F.col(text_col), n), lambda g: F.xxhash64(g)).alias("g")) for n in sizes])
-    rows = df.select(F.explode(per).alias("s")).select("s.n", F.explode("s.g").alias("h"))
-    counts = rows.groupBy("n", "h").agg(F.count("*").alias("c"))
-    return counts.groupBy("n").agg(F.count("*").alias("n_unique"), F.sum("c").alias("n_total")).withColumn("diversity", F.round(F.col("n_unique") / F.col("n_total"), 4))
+    rows = df.select(F.posexplode(hashed_ngrams(F.col(text_col), sizes)).alias("i", "g")).select("i", F.explode("g").alias("h"))
+    counts = rows.groupBy("i", "h").agg(F.count("*").alias("c"))
+    n = F.element_at(F.array(*[F.lit(k) for k in sizes]), F.col("i") + 1)
+    return counts.groupBy(n.alias("n")).agg(F.count("*").alias("n_unique"), F.sum("c").alias("n_total")).withColumn("diversity", F.round(F.col("n_unique") / F.col("n_total"), 4))
 
 
 def entropy(counts: DataFrame, key: str, c: str = "c", top: int = 50) -> DataFrame:

@@ -237,7 +237,7 @@ def scored_state(spark, sf) -> DataFrame:
     df = df.withColumn("fails_strict", F.col("reason").isNull() & strict.isNotNull()).withColumn("_old", F.when(F.col("route") == "to_rephrase", F.col("text")))
     df = rewrite.rewritten(df, "_old").withColumn("rewrite_status", F.when(F.col("route") == "to_rephrase", F.col("rewrite_status")))
     new = F.when(F.col("rewrite_status").isNotNull(), F.col("new_text"))
-    df = df.withColumns({"new_eval": linear.score("evaluation", linear.features(new)), "new_words": T.n_words(new), "new_bytes": F.octet_length(new), "bytes": F.octet_length(T.text_of(F.col("text")))})
+    df = df.withColumns({"new_eval": T.let(linear.measured(new), lambda x: linear.score("evaluation", {k: x[k] for k in linear.FEATURES})), "new_words": T.n_words(new), "new_bytes": F.octet_length(new), "bytes": F.octet_length(T.text_of(F.col("text")))})
     keep = ("doc_id", "url", "step", "reason", "score_edu", "score_evaluation", "ensemble", "toxicity", "n_words", "bytes", "route", "fails_strict", "rewrite_status", "new_score", "new_eval", "new_words", "new_bytes")
     return checkpointed(df.select(*keep))
 
@@ -294,11 +294,15 @@ def rewrite_gates(spark, sf):
     return rewrite.rewritten(docs(spark, sf, "text")).groupBy(F.col("rewrite_status").alias("status")).agg(F.count("*").alias("n"))
 
 
+def _evaluated(c):
+    return T.let(linear.measured(c), lambda x: linear.score("evaluation", {k: x[k] for k in linear.FEATURES}))
+
+
 @query(f"WITH {S.METRICS}, x0 AS (SELECT doc_id, n_words AS old_words, length(t) AS old_chars, {S.model('evaluation')} AS old_eval, {_NEW_TEXT} AS t FROM m WHERE n_words >= 30), {S.metrics('SELECT * FROM x0', 'xb', 'xm').strip()}, y AS (SELECT *, {S.model('evaluation')} AS new_eval FROM xm WHERE n_words >= 20) SELECT count(*)::BIGINT AS n, round(avg(old_eval), 4) AS before_mean, round(avg(new_eval), 4) AS after_mean, round(avg(new_eval - old_eval), 4) AS gain_mean, round(quantile_cont(round(new_eval - old_eval, 4), 0.5), 4) AS gain_p50, round(avg((new_eval > old_eval)::INT), 4) AS improved, round(avg(length(t)) / avg(old_chars), 4) AS length_ratio FROM y")
 def rewrite_before_after(spark, sf):
     """Scores of documents before and after rewriting, paired by id, and how long they became."""
     d = docs(spark, sf, "text").where(T.n_words(F.col("text")) >= rewrite.MIN_BEFORE).withColumn("new", rewrite.without_boilerplate(F.col("text"))).where(T.n_words(F.col("new")) >= rewrite.MIN_AFTER)
-    d = d.select(linear.score("evaluation", linear.features(F.col("text"))).alias("a"), linear.score("evaluation", linear.features(F.col("new"))).alias("b"), F.length(T.text_of(F.col("text"))).alias("la"), F.length("new").alias("lb"))
+    d = d.select(_evaluated(F.col("text")).alias("a"), _evaluated(F.col("new")).alias("b"), F.length(T.text_of(F.col("text"))).alias("la"), F.length("new").alias("lb"))
     r4 = lambda c, name: F.round(c, 4).alias(name)
     gain = F.col("b") - F.col("a")
     return d.agg(F.count("*").alias("n"), r4(F.avg("a"), "before_mean"), r4(F.avg("b"), "after_mean"), r4(F.avg(gain), "gain_mean"), r4(F.percentile(F.round(gain, 4), F.lit(0.5)), "gain_p50"), r4(F.avg((gain > 0).cast("int")), "improved"), r4(F.avg("lb") / F.avg("la"), "length_ratio"))

@@ -205,8 +205,7 @@ def stage_metrics(spark, sf):
     base = s.select("doc_id", "depth", F.col("score_evaluation").alias("q"), "tox", F.octet_length(T.text_of(F.col("text"))).alias("bytes"), F.nullif(U.domain(F.col("url")), F.lit("")).alias("host"))
     base = checkpointed(base)
     grams = docs(spark, sf, "text").join(base.select("doc_id", "depth"), "doc_id")
-    per = F.array(*[F.struct(F.lit(n).alias("n"), F.transform(measures.word_ngrams(F.col("text"), n), lambda g: F.xxhash64(g)).alias("g")) for n in (1, 2, 3)])
-    g = grams.select("depth", F.explode(per).alias("s")).select("depth", "s.n", F.explode("s.g").alias("h")).groupBy("n", "h").agg(F.max("depth").alias("top"), *[F.count_if(F.col("depth") >= k).alias(f"c{k}") for k in range(1, 5)])
+    g = grams.select("depth", F.posexplode(measures.hashed_ngrams(F.col("text"), (1, 2, 3))).alias("i", "g")).select("depth", (F.col("i") + 1).alias("n"), F.explode("g").alias("h")).groupBy("n", "h").agg(F.max("depth").alias("top"), *[F.count_if(F.col("depth") >= k).alias(f"c{k}") for k in range(1, 5)])
     g = g.groupBy("n").agg(*[x for k in range(1, 5) for x in (F.count_if(F.col("top") >= k).alias(f"u{k}"), F.sum(f"c{k}").alias(f"c{k}"))])
     ratios = g.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), r4(F.col(f"u{k}") / F.nullif(F.col(f"c{k}"), F.lit(0)), "r")) for k in range(1, 5)])).alias("x")).select("n", "x.*").groupBy("k").agg(*[F.max(F.when(F.col("n") == n, F.col("r"))).alias(f"{w}_unique_ratio") for n, w in ((1, "unigram"), (2, "bigram"), (3, "trigram"))])
     at = base.select("*", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("k"))
