@@ -23,8 +23,6 @@ from gristmill.sources.tables import spread
 #: Buckets of hashed pairs; weight of the raw corpus in the target; events added to the target's.
 BUCKETS, MIX = 1 << 12, 0.01
 PRIOR = 16 * BUCKETS
-#: The target is estimated from at most so many trusted rows, those of the least hashes.
-TRUSTED = 20_000
 LENGTH = 4
 
 
@@ -84,19 +82,17 @@ def _read(pdfs):
         again = again[starts[1:]] - again[starts[:-1]]
         small = events.astype(np.uint16)
         yield pd.DataFrame({
-            "table_name": pdf["table_name"], "row_id": pdf["row_id"], "is_trusted": pdf["is_trusted"], "n_words": np.diff(starts).astype(np.int32),
+            "table_name": pdf["table_name"], "row_id": pdf["row_id"], "n_words": np.diff(starts).astype(np.int32),
             "events": [small[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], "repeated": [exact_repeated(ws) if r else 0 for ws, r in zip(docs, again)],
         })
 
 
 def _counts(pdfs):
-    sums = np.zeros((2, 2 * BUCKETS), np.int64)
+    sums = np.zeros(2 * BUCKETS, np.int64)
     for pdf in lex.batches(pdfs):
-        for kind in (0, 1):
-            part = pdf["events"] if kind == 0 else pdf["events"][pdf["is_trusted"]]
-            sums[kind] += np.bincount(np.frombuffer(b"".join(part), np.uint16), minlength=2 * BUCKETS)
-    kind, at = np.nonzero(sums)
-    yield pd.DataFrame({"kind": kind.astype(np.int32), "event": at, "n": sums[kind, at]})
+        sums += np.bincount(np.frombuffer(b"".join(pdf["events"]), np.uint16), minlength=2 * BUCKETS)
+    at = np.flatnonzero(sums)
+    yield pd.DataFrame({"event": at, "n": sums[at]})
 
 
 def _scores(ratio: np.ndarray):
@@ -135,28 +131,27 @@ def cut_at(raw: np.ndarray, ratio: np.ndarray, share: float) -> float:
 def repetition(rows: DataFrame, trusted: DataFrame, limit: float = 0.3, min_words: int = 5) -> DataFrame:
     """``table_name, row_id, n_words, llr, repeated_share, is_repetitive`` for every row of ``(table_name, row_id, text)``.
 
-    ``trusted`` holds ``table_name, row_id`` of trusted rows, of which at most ``TRUSTED``
-    make the target; of these only texts without any repeated run count, as labels are
-    noisy. A null or empty text has no words, a share and a ratio of 0 and isn't flagged,
-    nor is a text of fewer than ``min_words`` words. Without trusted rows the target is made
-    of all texts that have no repeated run. Ids may be null; repeated ids stay separate rows.
+    ``trusted`` holds ``table_name, row_id`` of trusted rows, which all make the target; of
+    these only texts without any repeated run count, as labels are noisy. A null or empty
+    text has no words, a share and a ratio of 0 and isn't flagged, nor is a text of fewer
+    than ``min_words`` words. Without trusted rows the target is made of all texts that have
+    no repeated run. Ids may be null; repeated ids stay separate rows.
     """
-    some = trusted.select("table_name", "row_id").distinct().orderBy(F.xxhash64("table_name", "row_id"), "row_id").limit(TRUSTED)
-    known = F.broadcast(some.withColumn("is_trusted", F.lit(True)))  # TRUSTED rows at most
     rows = spread(rows.select("table_name", "row_id", F.coalesce("text", F.lit("")).alias("text")), "row_id")
-    rows = rows.join(known, ["table_name", "row_id"], "left").withColumn("is_trusted", F.coalesce("is_trusted", F.lit(False)))
-    events = checkpointed(rows.select("table_name", "row_id", "is_trusted", "text").mapInPandas(_read, "table_name string, row_id bigint, is_trusted boolean, n_words int, events binary, repeated bigint"))
-
-    def counted(trust) -> np.ndarray:
-        clean = trust & (F.col("repeated") == 0)
-        c = events.select(clean.alias("is_trusted"), "events").mapInPandas(_counts, "kind int, event bigint, n bigint").groupBy("kind", "event").agg(F.sum("n").alias("n")).toPandas()
-        out = np.zeros((2, 2 * BUCKETS))
-        out[c["kind"], c["event"]] = c["n"]
+    events = checkpointed(rows.mapInPandas(_read, "table_name string, row_id bigint, n_words int, events binary, repeated bigint"))
+
+    def counted(some: DataFrame) -> np.ndarray:
+        c = some.select("events").mapInPandas(_counts, "event bigint, n bigint").groupBy("event").agg(F.sum("n").alias("n")).toPandas()
+        out = np.zeros(2 * BUCKETS)
+        out[c["event"]] = c["n"]
         return out  # two numbers a bucket, whatever the size of the corpus
 
-    raw, target = counted(F.col("is_trusted"))
+    raw = counted(events)
+    clean = events.where("repeated = 0").select("table_name", "row_id", "events")
+    # trusted rows grow with the corpus: events (two bytes a word) are shuffled to them, they aren't broadcast
+    target = counted(clean.join(trusted.select("table_name", "row_id").hint("merge"), ["table_name", "row_id"], "left_semi"))
     if not target.sum():
-        raw, target = counted(F.lit(True))
+        target = counted(clean)
     ratio = log_ratios(raw, target)
     scored = events.select("table_name", "row_id", "n_words", "events", "repeated").mapInPandas(_scores(ratio), "table_name string, row_id bigint, n_words int, llr double, repeated_share double")
     # where nothing comes again in the whole corpus, no ratio tells anything

@@ -268,6 +268,19 @@ def test_repetition(spark, monkeypatch):
     assert repetition.repetition(df, trusted).where("is_repetitive").count() == 0
 
 
+def test_repetition_counts_every_trusted_row(spark, monkeypatch):
+    known, real = [], repetition.log_ratios
+    monkeypatch.setattr(repetition, "log_ratios", lambda raw, target: known.append((raw, target)) or real(raw, target))
+    rows = spark.range(24_000).select(F.lit("t").alias("table_name"), F.col("id").alias("row_id"), F.format_string("w%d v%d", "id", F.col("id") % 7).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([("t", 24_000, "a b c d " * 5), ("t", None, "null id")], "table_name string, row_id bigint, text string"))
+    trusted = rows.where("row_id < 22000 OR row_id >= 24000 OR row_id IS NULL").select("table_name", "row_id")
+    got = repetition.repetition(rows, trusted.unionByName(trusted.where("row_id < 500")))
+    assert got.count() == 24_002 and [x["row_id"] for x in got.where("is_repetitive").collect()] == [24_000]
+    # a row labelled twice counts once, one that repeats itself or has no id not at all
+    (raw, target), = known
+    assert raw.sum() == 2 * 24_000 + 20 + 2 and target.sum() == 2 * 22_000
+
+
 def test_ratios_are_of_hashed_ngrams():
     raw = np.zeros(2 * repetition.BUCKETS)
     raw[[0, 1, 2, 3]] = 50_000, 20_000, 50_000, 20_000
