@@ -114,6 +114,15 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def mean_of_scores(score: str) -> Column:
+    """The mean of scores of four places, the same in any order of rows.
+
+    Ten-thousandths are summed as whole numbers: sums of doubles take up an error by their
+    order, and with a few hundred rows a mean often lies halfway between two of six places.
+    """
+    return F.sum(F.round(F.col(score) * 10_000).cast("bigint")) / 10_000 / F.count(score)
+
+
 def top_fraction(df: DataFrame, score: str, fraction: float) -> DataFrame:
     """Rows whose score reaches the percentile of ``1 - fraction``; ties at the threshold all stay. Adds ``threshold``."""
     cut = df.agg(F.percentile(score, F.lit(1 - fraction)).alias("threshold"))

@@ -157,7 +157,7 @@ def _sweep(spark, sf):
     cuts = cuts.select(F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in FRACTIONS]).alias("fraction"), F.col("t").alias("threshold"))).alias("x"), "total").select("x.fraction", "x.threshold", "total")
     rows = s.join(F.broadcast(cuts), F.col("score") >= F.col("threshold"))  # eight rows
     out = rows.groupBy("fraction", "threshold", "total").agg(
-        F.count("*").alias("n"), F.sum("n_words").alias("n_words"), F.floor(F.sum("bytes") / 4).alias("est_tokens"), r6(F.avg("score"), "mean_score"), r6(F.avg("eval_score"), "eval_mean"),
+        F.count("*").alias("n"), F.sum("n_words").alias("n_words"), F.floor(F.sum("bytes") / 4).alias("est_tokens"), r6(measures.mean_of_scores("score"), "mean_score"), r6(measures.mean_of_scores("eval_score"), "eval_mean"),
         r6(F.percentile("eval_score", F.lit(0.9)), "eval_p90"), r6(F.percentile("eval_score", F.lit(0.5)), "eval_p50"),
     )
     return out.select("fraction", F.round("threshold", 6).alias("threshold"), "n", r6(F.col("n") / F.col("total"), "retention"), "n_words", "est_tokens", "mean_score", "eval_mean", "eval_p90", "eval_p50")

@@ -1,9 +1,13 @@
 """The queries over small tables of their own: equal to SQL on odd rows, and without a crash on empty tables."""
+import math
 import os
+import random
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
-from gristmill.plans import catalog
+from gristmill.plans import catalog, curation
 
 GOOD = "\n".join([
     "The old boat stood beside the quay, and nobody at the museum had ever seen such a quiet harbour in the winter.", "Then a painter came from the north with two bags of brushes and asked for a room above the bakery.",
@@ -81,6 +85,19 @@ def test_empty_tables(spark, folders, name):
     assert catalog.queries()[name](spark, folders[1]).count() >= 0
 
 
+@pytest.mark.parametrize("seed", [4, 14])
+def test_sweep_means_do_not_depend_on_the_order_of_rows(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    scores = [r.randint(0, 9999) for _ in range(200)]
+    # the mean lies halfway between two numbers of six places, so that an error in the sum shows in one of the two orders
+    want = math.floor(Fraction(sum(scores), 200 * 10_000) * 10**6 + Fraction(1, 2)) / 10**6
+    for rows in (scores, scores[::-1]):
+        df = spark.createDataFrame([(x / 10_000, x / 10_000, 1, "t") for x in rows], "score double, eval_score double, n_words bigint, text string").coalesce(1)
+        monkeypatch.setattr(curation, "scored", lambda spark, sf, df=df: df)
+        got = curation.threshold_sweep(spark, "").where(F.col("fraction") == 1.0).first()
+        assert (got["n"], got["mean_score"], got["eval_mean"]) == (200, want, want)
+
+
 def test_every_query_has_sql_but_learned_ones():
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"quality_classifier", "tfidf_classifier", "evaluation_classifier"}
     assert os.path.exists(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "pyproject.toml"))
